@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
-from ._spark import materialise, table
+from . import line_crf, mixing, packing, quality_rules, sharding
+from ._spark import held, materialise, table
 
 #: Target shares of op6, per mille of nothing in particular: integer shares.
 MIX_WEIGHTS = {f"src{i}": 8 - 2 * (i // 5) for i in range(20)}
@@ -14,6 +14,11 @@ MIX_OTHER, MIX_BLOCK = 1, 4
 PACK_MAX, PACK_BUCKETS, PACK_BUDGET = 2048, 8, 16_384
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     seqs = packing.sequences(docs.select("doc_id", "text"), packing.word_count(), PACK_MAX).drop("text")
@@ -23,6 +28,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("piece").cast("long"), "n_tokens", F.col("bucket").cast("long"), "bucket_len", "batch", "slot", "n_pad")
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"), "quality", ~held("doc_id", 5, 0))
+    out = line_crf.score(docs, model)
+    return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     out = mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
@@ -37,7 +49,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_line_crf": op3_line_crf,
     "op6_mixing": op6_mixing,
     "op10_sharding": op10_sharding,
 }
