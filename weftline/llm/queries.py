@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, mixing, packing, quality_rules, sharding
+from . import line_crf, mixing, packing, quality_rules, sharding, simhash
 from ._spark import held, materialise, table
 
 #: Target shares of op6, per mille of nothing in particular: integer shares.
@@ -35,6 +35,11 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     out = mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_line_crf": op3_line_crf,
+    "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
     "op10_sharding": op10_sharding,
 }
