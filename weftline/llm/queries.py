@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, mixing, packing, quality_rules, sharding, simhash
+from . import line_crf, mixing, packing, quality_rules, sharding, simhash, toxicity
 from ._spark import held, materialise, table
 
 #: Target shares of op6, per mille of nothing in particular: integer shares.
@@ -40,6 +40,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held("doc_id", 3, 1))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     out = mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
@@ -58,6 +65,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_crf": op3_line_crf,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op10_sharding": op10_sharding,
 }
