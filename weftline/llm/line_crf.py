@@ -301,6 +301,19 @@ def score(docs: DataFrame, model: LineCrf, doc_id: str = "doc_id", text: str = "
     return docs.select(doc_id, F.col(text).alias("text")).mapInArrow(run, f"{doc_id} {kind}, score double")
 
 
+def keep_good(docs: DataFrame, model: LineCrf, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, in one map
+    over the documents."""
+    schema = docs.schema
+
+    def run(batches):
+        for batch, buf, offs in chunks(batches, text):
+            own, ld, size = line_features(buf, offs)
+            yield batch.filter(pa.array(model.scores(own, ld, size.astype(float), len(offs) - 1) >= threshold))
+
+    return docs.mapInArrow(run, schema)
+
+
 def line_labels(docs: DataFrame, model: LineCrf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, start, end, good, marginal): one row per line with a word;
     ``line`` counts those lines from 0, start and end are byte offsets."""

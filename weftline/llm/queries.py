@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, mixing, packing, quality_rules, sharding, simhash, toxicity
+from . import line_crf, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from ._spark import held, materialise, table
 
 #: Target shares of op6, per mille of nothing in particular: integer shares.
@@ -53,6 +53,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_source", "share", "block", "release", "deadline", "slot", "slot_row")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(sharding.measured(table(spark, sf_dir, "documents")), "op10")
     groups = rows.groupBy("h").agg(F.sum("size").alias("size"))
@@ -67,5 +71,6 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
