@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, mixing, packing, quality_rules, sharding, simhash, site_style, suffix_dedup, toxicity
+from . import ann, line_crf, mixing, packing, quality_rules, sharding, simhash, site_style, suffix_dedup, toxicity
 from ._spark import held, materialise, table
 
 #: Target shares of op6, per mille of nothing in particular: integer shares.
@@ -61,6 +61,10 @@ def op8_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(sharding.measured(table(spark, sf_dir, "documents")), "op10")
     groups = rows.groupBy("h").agg(F.sum("size").alias("size"))
@@ -77,5 +81,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_site_style": op8_site_style,
+    "op9_ann": op9_ann,
     "op10_sharding": op10_sharding,
 }
