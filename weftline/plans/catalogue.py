@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import charset, codecs
 from ..functions import text as tx
 from ..operators import catalog, contract, edits, overlay, resolve, spans, stats
+from ..sources import containers, publish
 from ..sources.tables import load
+from ..streaming import windows
 
 TAG = r"<[^>]*>"
 
@@ -329,6 +332,127 @@ def quoted_tokens(s, d):
     return load(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))).alias("token"))
 
 
+def utf16_units(s, d):
+    return load(s, d, "documents").select("doc_id", tx.utf16_units(F.col("text")).alias("n_units"))
+
+
+def break_policy(s, d):
+    k = load(s, d, "conversations")
+    tok = lambda c: F.regexp_extract_all(c, F.lit(r"\n|[^\n]+"), F.lit(0))
+    after = F.when(F.col("turn") % 3 == 0, F.replace("text", F.lit("\n\n"), F.lit("\n"))).when(F.col("turn") % 3 == 1, F.concat("text", F.lit("\n"))).otherwise(F.upper("text"))
+    return k.select("conv_id", "turn", tx.only_breaks_dropped(tok(F.col("text")), tok(after), "\n").alias("allowed"))
+
+
+def _members(s, d):
+    k = load(s, d, "documents").select(F.col("source").alias("container"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("dir/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("payload"))
+    return k
+
+
+def _round_trip(s, d, fmt):
+    out = containers.scan(containers.build(_members(s, d), fmt), fmt, payload=True)
+    return out.select("container", "name", "size", F.sha2("payload", 256).alias("sha256"), "status")
+
+
+def container_flat(s, d):
+    return _round_trip(s, d, "flat")
+
+
+def container_chunked(s, d):
+    return _round_trip(s, d, "chunked")
+
+
+def container_tree(s, d):
+    return _round_trip(s, d, "tree")
+
+
+def container_records(s, d):
+    rows = load(s, d, "conversations").select(F.col("conv_id").cast("string").alias("container"), F.col("turn").alias("ordinal"), F.lit("").alias("name"), F.encode("text", "UTF-8").alias("payload"))
+    out = containers.scan(containers.build(rows, "records"), "records", payload=True)
+    return out.select("container", F.col("name").cast("long").alias("k"), F.sha2("payload", 256).alias("sha256"))
+
+
+def container_index(s, d):
+    """Index scan with a member pattern; no payload is read."""
+    out = containers.scan(containers.build(_members(s, d), "flat"), "flat", "dir/*7.txt")
+    return out.select("container", "name", "size")
+
+
+def container_replace(s, d):
+    m = containers.scan(containers.build(_members(s, d), "chunked"), "chunked", payload=True).select("container", "ordinal", "name", "payload")
+    new = m.where("name like '%3.txt'").select("container", "name", F.encode(F.lit("replaced"), "UTF-8").alias("payload"))
+    out = containers.scan(containers.build(containers.replace_members(m, new), "chunked"), "chunked", payload=True)
+    return out.select("container", "name", F.sha2("payload", 256).alias("sha256"))
+
+
+def incremental_patch(s, d):
+    old = _members(s, d)
+    new = old.withColumn("payload", F.when(F.col("ordinal") % 9 == 0, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("payload")))
+    return containers.changed_members(new, old).select("container", "name", F.sha2("payload", 256).alias("sha256"))
+
+
+def codec_roundtrip(s, d):
+    b = F.encode("text", "UTF-8")
+    k = load(s, d, "documents").select("doc_id", codecs.deflate(b).alias("z"))
+    return k.select("doc_id", F.sha2(codecs.decode(F.col("z"), "zlib", 1 << 24), 256).alias("sha256"))
+
+
+def codec_bounded(s, d):
+    k = load(s, d, "documents").select("doc_id", codecs.deflate(F.encode("text", "UTF-8")).alias("z"))
+    return k.select("doc_id", codecs.decode(F.col("z"), "zlib", 2000).isNotNull().alias("fits"))
+
+
+def keyed_bytes(s, d):
+    """A keyed transform applied twice is the input."""
+    twice = codecs.bytes_udf(lambda b: codecs.xor_repeat(codecs.xor_lcg(codecs.xor_lcg(codecs.xor_repeat(b, b"key"), 7), 7), b"key"))
+    k = load(s, d, "conversations")
+    return k.select("conv_id", "turn", F.sha2(twice(F.encode("text", "UTF-8")), 256).alias("sha256"))
+
+
+def aes_roundtrip(s, d):
+    key, iv = F.lit(bytes(range(16))), F.lit(bytes(range(16, 32)))
+    k = load(s, d, "conversations").select("conv_id", "turn", codecs.aes_cbc_encrypt(F.encode("text", "UTF-8"), key, iv).alias("c"))
+    return k.select("conv_id", "turn", F.sha2(codecs.aes_cbc_decrypt(F.col("c"), key, iv), 256).alias("sha256"))
+
+
+def charset_strict(s, d):
+    k = load(s, d, "documents")
+    return k.select("doc_id", charset.encode_strict(F.col("text"), "ascii").isNotNull().alias("ascii"), charset.decode_strict(charset.encode_strict(F.col("text"), "utf-16-le"), "utf-16-le").eqNullSafe(F.col("text")).alias("same"))
+
+
+def charset_lacking(s, d):
+    return charset.substitution_plan(load(s, d, "documents"), "text", "ascii").select("c", "n", F.hex(F.encode("proxy", "UTF-16BE")).alias("proxy"))
+
+
+def encoding_guess(s, d):
+    k = load(s, d, "conversations")
+    b = F.when(F.col("turn") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return k.select("conv_id", "turn", charset.guess(b).alias("charset"))
+
+
+def publish_roundtrip(s, d):
+    k = load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    path = windows.shared(s, "publish")
+    publish.publish(k, path)
+    if not publish.read_back(k, path):
+        raise RuntimeError("read-back differs")
+    return s.read.parquet(path)
+
+
+def stream_tumbling(s, d):
+    e = windows.events(s, f"{d}/events.parquet")
+    return windows.drain(windows.tumbling(e, "1 hour", "10 minutes", "event_type"), "complete")
+
+
+def stream_sliding(s, d):
+    e = windows.events(s, f"{d}/events.parquet")
+    return windows.drain(windows.sliding(e, "2 hours", "1 hour", "10 minutes", "event_type"), "complete")
+
+
+def stream_sessions(s, d):
+    e = windows.events(s, f"{d}/events.parquet")
+    return windows.drain(windows.sessions(e, "30 minutes", "10 minutes", "user_id"), "complete")
+
+
 # -- relational complement ---------------------------------------------------
 
 
@@ -398,5 +522,7 @@ QUERIES = {f.__name__: f for f in [
     ordered_counts, largest_per_group, refcount, series_extend, range_merge, cumulative_budget, dup_groups, pooled_values, conditional_counts, row_export, manifest, validate_rows,
     status_gate, rows_equal, token_multiset, offset_map, splice_text, map_addresses, overlap_check, consistent_rename, fixed_slot, pool_offsets, clone_references, paged_catalog,
     name_pattern, disambiguate, expand_refs, json_leaf, json_canonical, header_cells, preview, name_split, ruby_strip, letter_ranges, charset_plan, variants, quoted_tokens,
+    utf16_units, break_policy, container_flat, container_chunked, container_tree, container_records, container_index, container_replace, incremental_patch, codec_roundtrip, codec_bounded,
+    keyed_bytes, aes_roundtrip, charset_strict, charset_lacking, encoding_guess, publish_roundtrip, stream_tumbling, stream_sliding, stream_sessions,
     rel_pricing, rel_cube, rel_rollup, rel_windows, rel_asof, rel_sets, rel_top_customers, rel_sessions, rel_hourly,
 ]}

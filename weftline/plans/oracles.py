@@ -18,6 +18,8 @@ spans AS (
 
 _TAGS = "regexp_extract_all(html, '<[^>]*>')"
 
+_TRIP = "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, 'success' AS status FROM documents"
+
 ORACLES = {
     "line_kind": f"WITH {_LINES} SELECT doc_id, line, {_KIND} AS kind FROM lines",
     "content_kind": f"""WITH {_LINES}, k AS (SELECT doc_id, line, {_KIND} AS kind FROM lines),
@@ -137,6 +139,29 @@ ORACLES = {
     "variants": """WITH v AS (SELECT replace(p_name, ' ', '_') || unnest(['.txt', '.bin', '.dat']) AS candidate FROM part WHERE p_partkey % 10 = 0)
       SELECT lower(candidate) AS key, min(candidate) AS candidate FROM v GROUP BY 1""",
     "quoted_tokens": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS token FROM pages""",
+    "utf16_units": "SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS n_units FROM documents",
+    "break_policy": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE regexp_replace(text, chr(10), '', 'g') = regexp_replace(upper(text), chr(10), '', 'g') END AS allowed FROM conversations",
+    "container_flat": _TRIP,
+    "container_chunked": _TRIP,
+    "container_tree": _TRIP,
+    "container_records": "SELECT CAST(conv_id AS VARCHAR) AS container, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, sha256(text) AS sha256 FROM conversations",
+    "container_index": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE doc_id % 10 = 7",
+    "container_replace": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, sha256(CASE WHEN doc_id % 10 = 3 THEN 'replaced' ELSE text END) AS sha256 FROM documents",
+    "incremental_patch": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, sha256('x') AS sha256 FROM documents WHERE doc_id % 9 = 0 AND text <> 'x'",
+    "codec_roundtrip": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "codec_bounded": "SELECT doc_id, strlen(text) <= 2000 AS fits FROM documents",
+    "keyed_bytes": "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations",
+    "aes_roundtrip": "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations",
+    "charset_strict": "SELECT doc_id, strlen(text) = length(text) AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AS ascii, true AS same FROM documents",
+    "charset_lacking": """WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents), g AS (SELECT c, count(*) AS n FROM c WHERE c <> '' AND unicode(c) > 127 GROUP BY c)
+      SELECT c, n, upper(to_hex(CAST(63743 - row_number() OVER (ORDER BY n DESC, c) + 1 AS BIGINT))) AS proxy FROM g""",
+    "encoding_guess": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'utf-8' ELSE 'bom-16le' END AS charset FROM conversations",
+    "publish_roundtrip": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "stream_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts) - INTERVAL (k) HOUR AS start FROM events, (VALUES (0), (1)) v(k)) GROUP BY 1, 2",
+    "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+      SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
     "rel_pricing": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "rel_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
