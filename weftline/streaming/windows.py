@@ -31,8 +31,9 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream; its schema is that of the files, with the
-    event time as a session-zone timestamp, which watermarks need."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    event time as a session-zone timestamp, which watermarks need.
+    The path may be one file: as a pattern it is not taken for a folder."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, width: str, late: str, *keys: str) -> DataFrame:
