@@ -274,14 +274,21 @@ def start_model(texts: list[bytes], y: np.ndarray, hidden: int, window: int, str
     return BiGru(keys, p, hidden, window, stride)
 
 
-def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 24, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80) -> BiGru:
-    """Train on (UTF-8 text, label) pairs; every fourth of a class calibrates."""
+def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80, least_prior: float = 0.25, least_held: int = 25) -> BiGru:
+    """Train on (UTF-8 text, label) pairs; every fourth of a class calibrates.
+
+    ``least_prior``: the calibration takes label 1 for no rarer than this, since
+    a missed passage costs more than a second look.  A sample with fewer than
+    4 * ``least_held`` documents of a class is too small to be divided; it
+    calibrates on itself.
+    """
     rank = {0: 0, 1: 0}
     held, rest = [], []
     for t, v in sample:
         rank[v] += 1
         (held if rank[v] % 4 == 0 else rest).append((t, v))
-    sample = rest if held else sample
+    few = min(rank.values()) < 4 * least_held
+    sample, held = (sample, sample) if few else (rest, held)
     y = np.array([v for _, v in sample], int)
     model = start_model([t for t, _ in sample], y, hidden, window, stride)
     if len(y) == 0 or y.min() == y.max():
@@ -336,20 +343,21 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
                 m[k] = 0.9 * m[k] + 0.1 * q
                 v[k] = 0.99 * v[k] + 0.01 * q * q
                 p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(F32)
-    calibrate(model, held, prior)
+    calibrate(model, held, max(prior, least_prior))
     return model
 
 
-def calibrate(model: BiGru, sample: list[tuple[bytes, int]], prior: float, l2: float = 0.1) -> None:
+def calibrate(model: BiGru, sample: list[tuple[bytes, int]], prior: float, shy: float = 30.0) -> None:
     """Logistic regression of the label on ``features``, classes in their share
-    ``prior`` of the labels."""
+    ``prior`` of the labels.  ``shy`` is the ridge on the number of windows:
+    length counts against a text only as far as the sample insists."""
     y = np.array([v for _, v in sample], float)
     if len(y) == 0 or y.min() == y.max():
         return
     offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in sample])]).astype(np.int64)
     x = model.features(np.frombuffer(b"".join(t for t, _ in sample), np.uint8), offs)
     cw = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    origin, ridge = np.array([1.0, 0, 0, 0]), np.array([1.0, 1.0, 1.0, 1e-2])
+    origin, ridge = np.array([1.0, 0, 0, 0]), np.array([1.0, 1.0, shy, 1e-2])
 
     def loss(w):
         z = x @ w
@@ -368,7 +376,7 @@ def calibrate(model: BiGru, sample: list[tuple[bytes, int]], prior: float, l2: f
     model.scale = w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 1000, max_bytes: int = 1 << 14, doc_id: str = "doc_id", text: str = "text", **options) -> BiGru:
+def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = 2000, max_bytes: int = 1 << 14, doc_id: str = "doc_id", text: str = "text", **options) -> BiGru:
     """Fit on a bounded sample: at most 2 * ``per_class`` texts of at most
     ``max_bytes`` bytes reach the driver."""
     rows = training_sample(docs, labels, label, usable, per_class, max_bytes, doc_id, text).collect()
