@@ -44,7 +44,7 @@ def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK).orderBy("slot", "slot_row").select(docs.columns)
+    return mixing.mixed_order(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

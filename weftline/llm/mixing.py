@@ -88,33 +88,46 @@ def periods(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: The columns that ``mix`` adds.
+PLACE = ("mix_source", "share", "block", "release", "deadline", "slot", "slot_row")
+
+
+def _placed(docs: DataFrame, weights: dict[str, int], other: int, block_rows: int, doc_id: str, source: str, text: str) -> DataFrame:
+    """(row, *PLACE): every row of ``docs`` as a struct, with its place."""
+    if any(v < 1 for v in weights.values()) or other < 1 or OTHER in weights:
+        raise ValueError("shares are positive integers; '*' is the unnamed sources' own name")
+    names = F.array(*[F.lit(k) for k in weights])
+    share = F.create_map(*[F.lit(x) for k, v in {**weights, OTHER: other}.items() for x in (k, v)])
+    mixed = F.when(F.array_contains(names, F.coalesce(F.col(source), F.lit(OTHER))), F.col(source)).otherwise(F.lit(OTHER))
+    tie = F.xxhash64(text) if text in docs.columns else F.lit(0).cast("long")
+    named = docs.select(F.struct(*docs.columns).alias("row"), mixed.alias("mix_source"), F.col(doc_id).alias("id"), tie.alias("tie"), id_hash(doc_id).alias("h"))
+    named = named.withColumn("share", F.element_at(share, F.col("mix_source")).cast("long")).withColumn("s", F.substring("h", 1, 3))
+    named = ranked(named, ["mix_source"], ["s"], [F.col("h"), F.col("id"), F.col("tie")], "i")
+    named = named.withColumn("block", F.floor(F.col("i") / block_rows)).withColumn("slot_row", F.col("i") % block_rows)
+    named = named.withColumn("p", F.floor(F.col("block") / F.col("share")))
+    sizes = docs.select(mixed.alias("name")).groupBy("name").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks"))
+    sizes = sizes.withColumn("share", F.element_at(share, F.col("name")).cast("long"))
+    # Bounded by the weights: (2 * sources + 1) periods of at most sum(shares) slots.
+    plan = F.broadcast(periods(sizes).select("name", "p_from", "p_to", "j", F.col("release").alias("r"), F.col("deadline").alias("e"), "t", "d", "start"))
+    on = (F.col("mix_source") == F.col("name")) & (F.col("block") - F.col("p") * F.col("share") == F.col("j")) & (F.col("p") >= F.col("p_from")) & (F.col("p") < F.col("p_to"))
+    base = F.col("start") + (F.col("p") - F.col("p_from")) * F.col("d")
+    out = named.join(plan, on, "left").withColumn("release", base + F.col("r")).withColumn("deadline", base + F.col("e")).withColumn("slot", base + F.col("t"))
+    return out.select("row", *PLACE)
+
+
 def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = 4, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Place every document in the mixture.
 
     ``weights``: integer share of each named source; ``other``: the share of all
     others together.  Adds to ``docs``: mix_source, share, block (of its
     source), release, deadline, slot (one block each, gapless from 0) and
-    slot_row (place in the block).
+    slot_row (place in the block).  Input columns with these names give way.
     """
-    if any(v < 1 for v in weights.values()) or other < 1 or OTHER in weights:
-        raise ValueError("shares are positive integers; '*' is the unnamed sources' own name")
-    names = F.array(*[F.lit(k) for k in weights])
-    share = F.create_map(*[F.lit(x) for k, v in {**weights, OTHER: other}.items() for x in (k, v)])
-    named = docs.withColumn("mix_source", F.when(F.array_contains(names, F.coalesce(F.col(source), F.lit(OTHER))), F.col(source)).otherwise(F.lit(OTHER)))
-    named = named.withColumn("share", F.element_at(share, F.col("mix_source")).cast("long"))
-    named = named.withColumn("__h", id_hash(doc_id)).withColumn("__s", F.substring("__h", 1, 3))
-    tie = [F.xxhash64(text)] if text in docs.columns else []
-    named = ranked(named, ["mix_source"], ["__s"], [F.col("__h"), F.col(doc_id), *tie], "__i")
-    named = named.withColumn("block", F.floor(F.col("__i") / block_rows)).withColumn("slot_row", F.col("__i") % block_rows)
-    named = named.withColumn("__p", F.floor(F.col("block") / F.col("share")))
-    sizes = docs.select(F.when(F.array_contains(names, F.coalesce(F.col(source), F.lit(OTHER))), F.col(source)).otherwise(F.lit(OTHER)).alias("name"))
-    sizes = sizes.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks")).withColumn("share", F.element_at(share, F.col("name")).cast("long"))
-    # Bounded by the weights: (2 * sources + 1) periods of at most sum(shares) slots.
-    plan = F.broadcast(periods(sizes).select(F.col("name").alias("__name"), "p_from", "p_to", F.col("j").alias("__j"), F.col("release").alias("__r"), F.col("deadline").alias("__d"), "t", "d", "start"))
-    on = (F.col("mix_source") == F.col("__name")) & (F.col("block") - F.col("__p") * F.col("share") == F.col("__j")) & (F.col("__p") >= F.col("p_from")) & (F.col("__p") < F.col("p_to"))
-    base = F.col("start") + (F.col("__p") - F.col("p_from")) * F.col("d")
-    return (
-        named.join(plan, on, "left")
-        .withColumn("release", base + F.col("__r")).withColumn("deadline", base + F.col("__d")).withColumn("slot", base + F.col("t"))
-        .drop("__h", "__s", "__i", "__p", "__name", "__j", "__r", "__d", "t", "d", "start", "p_from", "p_to")
-    )
+    out = _placed(docs, weights, other, block_rows, doc_id, source, text)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in PLACE], *PLACE)
+
+
+def mixed_order(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = 4, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, sorted by the mixture."""
+    out = _placed(docs, weights, other, block_rows, doc_id, source, text)
+    return out.orderBy("slot", "slot_row").select("row.*")

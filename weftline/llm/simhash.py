@@ -100,15 +100,17 @@ def _within(count: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every document as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint of every document as a signed
+    long, and XXH64 of its text."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch, buf, offs in chunks(batches):
             fp = fingerprints(buf, offs, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [doc_id, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], [doc_id, "fp", "text_hash"])
 
-    return docs.select(doc_id, F.col(text).alias("text")).mapInArrow(run, f"{doc_id} {kind}, fp long")
+    rows = docs.select(doc_id, F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, f"{doc_id} {kind}, fp long, text_hash long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -223,25 +225,27 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, fp, component_id, root, text_hash) for every row of ``docs``;
+    ``root`` names the component by a fingerprint."""
     fps = materialise(fingerprint(docs, width, doc_id, text), "simhash")
     nodes = fps.groupBy("fp").agg(F.min(doc_id).alias("__low"))
     comp = components(links(nodes.select("fp"), radius)).select(F.col("v").alias("fp"), "root")
     node = nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     node = materialise(node, "simhash-nodes")
     least = node.groupBy("root").agg(F.min("__low").alias("component_id"))
-    node = node.join(least, "root").select("fp", "component_id")
-    return fps.join(node, "fp", "left").select(doc_id, "fp", "component_id")
+    node = node.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(node, "fp", "left").select(doc_id, "fp", "component_id", "root", "text_hash")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one of each component: the row with
-    its least id stays, and of several such rows the one with the least text
-    hash.  Rows without an id stay."""
+    """The rows of ``docs`` without all but one of each component: a row with its
+    least id stays, of several texts with that id the one of least hash, and of
+    equal such rows any one.  Rows without an id stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    ids = found.where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    kept = docs.join(ids, doc_id, "left_semi")
-    h = F.xxhash64(*[F.col(c) for c in docs.columns])
-    again = kept.groupBy(doc_id).agg(F.min(h).alias("__h"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    kept = kept.join(again, doc_id, "left").where(F.col("__h").isNull() | (F.col("__h") == h)).drop("__h")
-    return kept.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    won = found.where(F.col(doc_id) == F.col("component_id")).groupBy("root").agg(F.min(doc_id).alias(doc_id), F.min("text_hash").alias("__weft_h"), F.count(F.lit(1)).alias("__weft_n"))
+    won = materialise(won.groupBy(doc_id, "__weft_h").agg(F.sum("__weft_n").alias("__weft_n")), "simhash-kept")
+    keyed = docs.withColumn("__weft_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    single = keyed.join(won.where("__weft_n = 1").drop("__weft_n"), [doc_id, "__weft_h"], "left_semi").select(docs.columns)
+    # few: winners whose id stands for several rows
+    several = keyed.join(won.where("__weft_n > 1").drop("__weft_n"), [doc_id, "__weft_h"], "left_semi").dropDuplicates([doc_id, "__weft_h"]).select(docs.columns)
+    return single.unionByName(several).unionByName(docs.where(F.col(doc_id).isNull()))
