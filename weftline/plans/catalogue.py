@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import charset, codecs
 from ..functions import text as tx
 from ..operators import catalog, contract, edits, overlay, resolve, spans, stats
-from ..sources import containers, publish
+from ..sources import containers, publish, scan, structured
 from ..sources.tables import load
 from ..streaming import windows
 
@@ -453,6 +453,100 @@ def stream_sessions(s, d):
     return windows.drain(windows.sessions(e, "30 minutes", "10 minutes", "user_id"), "complete")
 
 
+def _files(s, d):
+    """Documents as files: a path and the first bytes."""
+    ext = F.element_at(F.array(F.lit(".ks"), F.lit(".txt"), F.lit(".TXT"), F.lit(".bin")), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 10 == 0, "backup/").otherwise(""), F.lit("n"), F.col("doc_id").cast("string"), ext)
+    return load(s, d, "documents").select("doc_id", path.alias("path"), F.col("n_chars").alias("size"), F.encode(F.substring("text", 1, 64), "UTF-8").alias("head"))
+
+
+def _hits(s, d):
+    return scan.evidence(_files(s, d), [("the", b"The"), ("er", b"Er"), ("any-e", b"E")], [("script", ".ks"), ("plain", ".txt"), ("script", ".txt")], [("first", "n1.txt"), ("script", "n4.ks")])
+
+
+def evidence_scan(s, d):
+    return _hits(s, d)
+
+
+def evidence_candidates(s, d):
+    return scan.candidates(_hits(s, d), 3).withColumn("shown", F.array_join("shown", ","))
+
+
+def scan_limits(s, d):
+    return scan.limited(_files(s, d), 300, 2).select("path", F.col("depth").cast("long"), "kept", "reason")
+
+
+def derived_paths(s, d):
+    return _files(s, d).select("path", scan.derived(F.col("path")).alias("derived"))
+
+
+def volume_sets(s, d):
+    t = load(s, d, "documents").select(F.concat("source", F.lit(".pak"), F.when(F.col("doc_id") % 50 < 20, "").otherwise(F.concat(F.lit("."), F.lpad((F.col("doc_id") % 50).cast("string"), 3, "0")))).alias("path")).distinct()
+    return scan.volumes(t)
+
+
+def paired_files(s, d):
+    t = load(s, d, "documents").select(F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 3 == 0, ".idx").otherwise(".dat")).alias("path")).distinct()
+    return scan.paired(t, ".idx", ".dat")
+
+
+def strict_json(s, d):
+    e = load(s, d, "events")
+    v = F.when(F.col("event_id") % 5 == 0, '{"k": 1, "k": 2}').when(F.col("event_id") % 7 == 0, '{"k": NaN}').when(F.col("event_id") % 11 == 0, F.expr("left(props, 4)")).otherwise(F.col("props"))
+    return e.select("event_id", structured.strict_json(v).alias("reason"))
+
+
+def tree_nodes(s, d):
+    k = load(s, d, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("a"))
+    k = k.select("conv_id", F.to_json(F.struct(F.lit("c").alias("t"), F.col("a"))).alias("j"))
+    out = structured.tree_nodes(k, "conv_id", "j")
+    return out.select("conv_id", "pos", "parent", F.array_join("path", "/").alias("path"), "tag", "value")
+
+
+def event_leaves(s, d):
+    c = load(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", 401).otherwise(102).alias("code"), F.array("role").alias("parameters")))).alias("l"))
+    k = c.select("conv_id", F.to_json(F.struct(F.array(F.struct(F.transform("l", lambda x: F.struct(x.code.alias("code"), x.parameters.alias("parameters"))).alias("list"))).alias("events"))).alias("j"))
+    return structured.selected_leaves(k, "conv_id", "j", [401])
+
+
+def delimited_rows(s, d):
+    p = load(s, d, "part").withColumn("g", F.floor(F.col("p_partkey") / 50))
+    p = p.withColumn("l", F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_partkey") % 9 == 0, F.lit("x"))))
+    g = p.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "l"))).alias("s"))
+    k = g.select("g", F.concat(F.lit("id,Original text\n"), F.array_join(F.transform("s", lambda x: x.l), "\n")).alias("t"))
+    return structured.delimited(k, "g", "t", ",", "Original text")
+
+
+def xml_resources(s, d):
+    n = load(s, d, "nation")
+    k = n.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<Res id="'), F.col("n_nationkey").cast("string"), F.lit('">'), "n_name", F.lit("</Res>")))), "").alias("r"), F.array_join(F.transform(F.sort_array(F.collect_list("n_nationkey")), lambda x: F.concat(F.lit('<Log text="'), x.cast("string"), F.lit('" name="'), (x + 1).cast("string"), F.lit('"/>'))), "").alias("g"))
+    x = k.select("n_regionkey", F.concat(F.lit("<Doc>"), "r", "g", F.lit('<Log text="999" name="0"/></Doc>')).alias("x"))
+    return structured.text_resources(x, "n_regionkey", "x")
+
+
+def grid_records(s, d):
+    p = load(s, d, "part").withColumn("book", F.floor(F.col("p_partkey") / 100))
+    cells = F.when(F.col("p_partkey") % 100 == 0, F.array(F.lit("Command"), F.lit("Arg1"), F.lit("Text"))).when(F.col("p_partkey") % 13 == 0, F.array(F.lit("//note"), F.lit(""), F.lit(""))).when(F.col("p_partkey") % 17 == 0, F.array(F.lit(""), F.lit(" "))).otherwise(F.array("p_type", F.lit("a"), "p_name"))
+    return structured.grid_records(p.select("book", "p_partkey", cells.alias("cells")), "book", "p_partkey", "cells", ["ECONOMY"], ["STANDARD"])
+
+
+def tag_lexer(s, d):
+    t = structured.lex(load(s, d, "pages"), "page_id", "html")
+    return t.groupBy("page_id").agg(F.count_if(F.col("kind") != "text").alias("n_tags"), F.max("end").alias("n_chars"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "token"))), lambda x: x.token), "")).alias("digest"))
+
+
+def tag_attributes(s, d):
+    t = structured.lex(load(s, d, "pages"), "page_id", "html").where("token like '<a %'")
+    return t.select("page_id", "ordinal", F.try_element_at(structured.attributes(F.col("token")), F.lit("href")).alias("href")).drop("ordinal").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+def handoff(s, d):
+    """State of a job in one row a file: rows, edited rows, open items."""
+    v = validate_rows(s, d)
+    g = v.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("valid")).alias("n_open"), F.min(F.when(~F.col("valid"), F.col("turn"))).alias("first_open"))
+    return g.withColumn("state", F.when(F.col("n_open") == 0, "success").when(F.col("n_open") < F.col("n_rows"), "partial").otherwise("blocked"))
+
+
 # -- relational complement ---------------------------------------------------
 
 
@@ -475,7 +569,7 @@ def rel_windows(s, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return load(s, d, "orders").select(
         "o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.lag("o_orderkey").over(w).alias("prev"),
-        F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.ntile(4).over(Window.orderBy("o_orderkey")).cast("long").alias("quart"),
+        F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.ntile(4).over(w).cast("long").alias("quart"),
     )
 
 
@@ -524,5 +618,7 @@ QUERIES = {f.__name__: f for f in [
     name_pattern, disambiguate, expand_refs, json_leaf, json_canonical, header_cells, preview, name_split, ruby_strip, letter_ranges, charset_plan, variants, quoted_tokens,
     utf16_units, break_policy, container_flat, container_chunked, container_tree, container_records, container_index, container_replace, incremental_patch, codec_roundtrip, codec_bounded,
     keyed_bytes, aes_roundtrip, charset_strict, charset_lacking, encoding_guess, publish_roundtrip, stream_tumbling, stream_sliding, stream_sessions,
+    evidence_scan, evidence_candidates, scan_limits, derived_paths, volume_sets, paired_files, strict_json, tree_nodes, event_leaves, delimited_rows, xml_resources, grid_records, tag_lexer,
+    tag_attributes, handoff,
     rel_pricing, rel_cube, rel_rollup, rel_windows, rel_asof, rel_sets, rel_top_customers, rel_sessions, rel_hourly,
 ]}

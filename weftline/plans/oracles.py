@@ -18,6 +18,22 @@ spans AS (
 
 _TAGS = "regexp_extract_all(html, '<[^>]*>')"
 
+_FILES = """f AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 10 = 0 THEN 'backup/' ELSE '' END || 'n' || doc_id || ['.ks', '.txt', '.TXT', '.bin'][doc_id % 4 + 1] AS path, text FROM documents)"""
+_HITS = f"""{_FILES}, h AS (
+    SELECT 'the' AS kind, path, 'probe' AS strength, '546865' AS evidence FROM f WHERE starts_with(text, 'The')
+    UNION ALL SELECT 'er', path, 'probe', '4572' FROM f WHERE starts_with(text, 'Er')
+    UNION ALL SELECT 'any-e', path, 'probe', '45' FROM f WHERE starts_with(text, 'E')
+    UNION ALL SELECT 'first', path, 'filename', 'n1.txt' FROM f WHERE lower(split_part(path, '/', -1)) = 'n1.txt'
+    UNION ALL SELECT 'script', path, 'filename', 'n4.ks' FROM f WHERE lower(split_part(path, '/', -1)) = 'n4.ks'
+    UNION ALL SELECT 'script', path, 'extension', '.ks' FROM f WHERE ends_with(lower(path), '.ks')
+    UNION ALL SELECT unnest(['plain', 'script']), path, 'extension', '.txt' FROM f WHERE ends_with(lower(path), '.txt'))"""
+
+_VALID = """WITH a AS (SELECT conv_id, turn, role AS n1, text AS m1 FROM conversations),
+      b AS (SELECT conv_id, turn, CASE WHEN conv_id % 13 = 0 THEN NULL ELSE role END AS n2,
+                   CASE WHEN turn % 5 = 1 THEN replace(text, '.', '') WHEN turn % 7 = 2 THEN '' ELSE upper(text) END AS m2 FROM conversations WHERE (conv_id + turn) % 11 <> 0),
+      j AS (SELECT a.conv_id, a.turn, CASE WHEN b.turn IS NULL THEN 'missing' WHEN (n1 IS NULL) <> (n2 IS NULL) THEN 'name' WHEN m2 = '' AND m1 <> '' THEN 'empty'
+              WHEN len(regexp_extract_all(m1, '[.]')) <> len(regexp_extract_all(m2, '[.]')) THEN 'tokens' ELSE 'ok' END AS reason FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn)"""
+
 _TRIP = "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, 'success' AS status FROM documents"
 
 ORACLES = {
@@ -162,11 +178,47 @@ ORACLES = {
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
       SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
+    "evidence_scan": f"WITH {_HITS} SELECT * FROM h",
+    "evidence_candidates": f"""WITH {_HITS}, r AS (SELECT *, CASE strength WHEN 'probe' THEN 0 WHEN 'filename' THEN 1 ELSE 2 END AS st FROM h),
+      x AS (SELECT *, row_number() OVER (PARTITION BY kind, st ORDER BY path) = 1 AS first FROM r),
+      y AS (SELECT *, count(*) FILTER (first) OVER (PARTITION BY kind) AS n, row_number() OVER (PARTITION BY kind ORDER BY first DESC, st, path) AS rn FROM x),
+      g AS (SELECT kind, string_agg(path, ',' ORDER BY st, path) AS shown, count(*) AS k FROM y WHERE rn <= greatest(3, n) GROUP BY kind)
+      SELECT kind, count(DISTINCT path) AS n_files, count(*) AS n_hits, ['probe', 'filename', 'extension'][min(st) + 1] AS best, count(*) > any_value(k) AS capped, any_value(shown) AS shown FROM r JOIN g USING (kind) GROUP BY kind""",
+    "scan_limits": f"""WITH {_FILES}, k AS (SELECT path, CAST(len(string_split(path, '/')) - 1 AS BIGINT) AS depth, row_number() OVER (ORDER BY len(string_split(path, '/')), path) AS rn FROM f)
+      SELECT path, depth, NOT (depth > 2 OR rn > 300) AS kept, CASE WHEN depth > 2 THEN 'depth' WHEN rn > 300 THEN 'files' END AS reason FROM k""",
+    "derived_paths": f"WITH {_FILES} SELECT path, contains(path, '/backup/') AS derived FROM f",
+    "volume_sets": """WITH t AS (SELECT DISTINCT source || '.pak' || CASE WHEN doc_id % 50 < 20 THEN '' ELSE '.' || lpad(CAST(doc_id % 50 AS VARCHAR), 3, '0') END AS path FROM documents),
+      b AS (SELECT path, regexp_replace(path, '\\.\\d{1,4}$', '') AS base FROM t)
+      SELECT base, path, row_number() OVER (PARTITION BY base ORDER BY length(path), path) - 1 AS volume FROM b""",
+    "paired_files": """WITH t AS (SELECT DISTINCT source || '/' || doc_id % 7 AS stem, doc_id % 3 = 0 AS i FROM documents)
+      SELECT stem, max(CASE WHEN i THEN stem || '.idx' END) AS index_path, max(CASE WHEN NOT i THEN stem || '.dat' END) AS payload_path FROM t GROUP BY stem""",
+    "strict_json": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'duplicate' WHEN event_id % 7 = 0 THEN 'constant' WHEN event_id % 11 = 0 THEN 'malformed' END AS reason FROM events",
+    "tree_nodes": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+      SELECT DISTINCT conv_id, 0 AS pos, NULL AS parent, '' AS path, 'object' AS tag, NULL AS value FROM n
+      UNION ALL SELECT DISTINCT conv_id, 1, 0, 't', 'string', 'c' FROM n UNION ALL SELECT DISTINCT conv_id, 2, 0, 'a', 'array', NULL FROM n
+      UNION ALL SELECT conv_id, 3 + 3 * k, 2, 'a/' || k, 'object', NULL FROM n
+      UNION ALL SELECT conv_id, 4 + 3 * k, 3 + 3 * k, 'a/' || k || '/turn', 'integer', CAST(turn AS VARCHAR) FROM n
+      UNION ALL SELECT conv_id, 5 + 3 * k, 3 + 3 * k, 'a/' || k || '/role', 'string', role FROM n""",
+    "event_leaves": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+      SELECT conv_id, 0 AS event, k AS ordinal, 401 AS code, role AS leaf FROM n WHERE role = 'user'""",
+    "delimited_rows": "SELECT p_partkey // 50 AS g, p_partkey % 50 AS line, p_name AS value, CASE WHEN p_partkey % 9 = 0 THEN 3 ELSE 2 END AS n_fields, p_partkey % 9 <> 0 AS rectangular FROM part",
+    "xml_resources": """WITH l AS (SELECT n_regionkey, n_nationkey AS t, n_nationkey + 1 AS m FROM nation UNION ALL SELECT DISTINCT n_regionkey, 999, 0 FROM nation),
+      k AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY t) - 1 AS position FROM l)
+      SELECT k.n_regionkey, position, b.n_name AS name, a.n_name AS message, a.n_name IS NULL AS dangling FROM k
+      LEFT JOIN nation a ON a.n_nationkey = t AND a.n_regionkey = k.n_regionkey LEFT JOIN nation b ON b.n_nationkey = m AND b.n_regionkey = k.n_regionkey""",
+    "grid_records": """SELECT p_partkey // 100 AS book, p_partkey AS row, CASE WHEN p_partkey % 13 = 0 THEN '//note' WHEN p_partkey % 17 = 0 THEN '' ELSE p_type END AS command,
+      CASE WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN '' ELSE p_name END AS text,
+      CASE WHEN p_partkey % 13 = 0 THEN 'comment' WHEN p_partkey % 17 = 0 THEN 'empty' WHEN p_type = 'ECONOMY' THEN 'text' WHEN p_type = 'STANDARD' THEN 'other' ELSE 'unknown' END AS role
+      FROM part WHERE p_partkey % 100 <> 0""",
+    "tag_lexer": f"SELECT page_id, CAST(len({_TAGS}) AS BIGINT) AS n_tags, CAST(length(html) AS BIGINT) AS n_chars, md5(html) AS digest FROM pages",
+    "tag_attributes": """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""",
+    "handoff": f"""{_VALID}, g AS (SELECT conv_id, count(*) AS n_rows, count(*) FILTER (reason <> 'ok') AS n_open, min(turn) FILTER (reason <> 'ok') AS first_open FROM j GROUP BY conv_id)
+      SELECT *, CASE WHEN n_open = 0 THEN 'success' WHEN n_open < n_rows THEN 'partial' ELSE 'blocked' END AS state FROM g""",
     "rel_pricing": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "rel_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "rel_rollup": "SELECT p_brand, p_type, count(*) AS n, max(p_size) AS max_size FROM part GROUP BY ROLLUP (p_brand, p_type)",
-    "rel_windows": """SELECT o_orderkey, row_number() OVER w AS rn, lag(o_orderkey) OVER w AS prev, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running, ntile(4) OVER (ORDER BY o_orderkey) AS quart
+    "rel_windows": """SELECT o_orderkey, row_number() OVER w AS rn, lag(o_orderkey) OVER w AS prev, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running, ntile(4) OVER w AS quart
       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "rel_asof": """SELECT a.o_orderkey AS lk, arg_max(b.o_orderkey, (epoch_us(b.o_orderdate)::HUGEINT * 1000000000 + b.o_orderkey)) AS asof
       FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate <= a.o_orderdate + INTERVAL 90 DAY GROUP BY 1""",
