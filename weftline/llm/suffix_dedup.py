@@ -155,7 +155,7 @@ def _spans(mask: np.ndarray, lo: np.ndarray, group: np.ndarray, length: int):
     return group[a], lo[a], lo[b] + length
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 32, hot_phrases: int = 8_000, part_bytes: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 32, hot_phrases: int = 4_000, part_bytes: int = 1 << 20) -> DataFrame:
     """(u1, u2, start, end): byte spans whose bytes are all to be removed.
 
     Texts are named by two 64-bit hashes (see ``_uid``); spans of one text may
@@ -173,7 +173,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram:
 
     texts = docs.select(*_uid(text), F.col(text).alias("text"))
     parsed = materialise(texts.mapInArrow(parse, "key long, ctx long, u1 long, u2 long, lo long, size int"), "pfp-parse")
-    common = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # stored, so that the join below shuffles both sides and a hot key can be split
+    common = materialise(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "pfp-common")
     cand = materialise(parsed.join(common, "key", "left_semi"), "pfp-candidates")
     dictionary = cand.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "size")).alias("r"))
     dictionary = materialise(dictionary.select("key", "ctx", "n", "r.*"), "pfp-dictionary")
@@ -350,20 +351,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
                         at = e
                 out.append(raw[at:])
                 kept.append(b"".join(out).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["u1", "u2", "__kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["u1", "u2", "__weft_kept"])
 
     spans = repeated_spans(docs, text, **options)
-    out = _joined(docs, spans, text).where("e is not null").mapInArrow(rest, "u1 long, u2 long, __kept string").dropDuplicates(UID)
-    u = [c.alias(f"__{k}") for c, k in zip(_uid(text), UID, strict=True)]
-    out = out.withColumnsRenamed({k: f"__{k}" for k in UID})
-    joined = docs.select("*", *u).join(out, ["__u1", "__u2"], "left")
-    new = F.coalesce(F.col("__kept"), F.col(text))
+    out = _joined(docs, spans, text).where("e is not null").mapInArrow(rest, "u1 long, u2 long, __weft_kept string").dropDuplicates(UID)
+    u = [c.alias(f"__weft_{k}") for c, k in zip(_uid(text), UID, strict=True)]
+    out = out.withColumnsRenamed({k: f"__weft_{k}" for k in UID})
+    joined = docs.select("*", *u).join(out, ["__weft_u1", "__weft_u2"], "left")
+    new = F.coalesce(F.col("__weft_kept"), F.col(text))
     cols = []
     for c in docs.columns:
         if c == text:
             cols.append(new.alias(c))
         elif c == n_chars:
-            cols.append(F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.char_length("__kept").cast(docs.schema[c].dataType)).alias(c))
+            cols.append(F.when(F.col("__weft_kept").isNull(), F.col(c)).otherwise(F.char_length("__weft_kept").cast(docs.schema[c].dataType)).alias(c))
         else:
             cols.append(F.col(c))
     return joined.select(*cols)
