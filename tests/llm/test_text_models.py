@@ -36,7 +36,7 @@ def test_base_counts(spark, documents, awkward, labels):
         assert sorted(tuple(r[f] for f in quality_rules.FIELDS) for r in got) == texts
         for r in got:
             assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-            assert r.kept == (not r.base_failed and r.llr >= -0.25)
+            assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
 
 
 def test_ratio_by_brute_force(spark, documents, labels):
