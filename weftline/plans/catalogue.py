@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charset, codecs
 from ..functions import text as tx
-from ..operators import catalog, contract, edits, overlay, resolve, spans, stats
+from ..operators import binary, catalog, contract, edits, overlay, paths, resolve, spans, stats
 from ..sources import containers, publish, scan, structured
 from ..sources.tables import load
 from ..streaming import windows
@@ -547,6 +547,24 @@ def handoff(s, d):
     return g.withColumn("state", F.when(F.col("n_open") == 0, "success").when(F.col("n_open") < F.col("n_rows"), "partial").otherwise("blocked"))
 
 
+def path_check(s, d):
+    k = load(s, d, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("a\\b.ks", "../x", "/x", "C:/x", "a//b", "CON", "aux.txt", "x/a.", "x/b ", "ok/name.txt")]), (F.col("doc_id") % 10 + 1).cast("int")).alias("p"))
+    return k.select("doc_id", paths.normal_path(F.col("p")).alias("r")).select("doc_id", "r.path", "r.reason")
+
+
+def path_collisions(s, d):
+    k = load(s, d, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")), F.when(F.col("doc_id") % 25 == 0, "").otherwise(F.concat(F.lit("/"), (F.col("doc_id") % 40).cast("string")))).alias("p"))
+    return paths.collisions(k, "p")
+
+
+def pointer_repair(s, d):
+    """Records of a u32 pointer to a text behind a 3-byte head that an edit widens."""
+    b = load(s, d, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("k"), F.concat(F.unhex(F.lit("07000000")), F.encode(F.lit("abc"), "UTF-8"), F.encode("text", "UTF-8")).alias("content"))
+    e = b.select("k", F.lit(4).cast("long").alias("start"), F.lit(7).cast("long").alias("end"), F.encode(F.lit("longer"), "UTF-8").alias("replacement"))
+    out = binary.patch(b, e, b.select("k", F.lit(0).cast("long").alias("field")), "k", "content")
+    return out.select("k", F.hex(F.substring("content", 1, 4)).alias("pointer"), F.sha2(F.substring("content", 11, 1 << 30), 256).alias("sha256"), "status")
+
+
 # -- relational complement ---------------------------------------------------
 
 
@@ -619,6 +637,6 @@ QUERIES = {f.__name__: f for f in [
     utf16_units, break_policy, container_flat, container_chunked, container_tree, container_records, container_index, container_replace, incremental_patch, codec_roundtrip, codec_bounded,
     keyed_bytes, aes_roundtrip, charset_strict, charset_lacking, encoding_guess, publish_roundtrip, stream_tumbling, stream_sliding, stream_sessions,
     evidence_scan, evidence_candidates, scan_limits, derived_paths, volume_sets, paired_files, strict_json, tree_nodes, event_leaves, delimited_rows, xml_resources, grid_records, tag_lexer,
-    tag_attributes, handoff,
+    tag_attributes, handoff, path_check, path_collisions, pointer_repair,
     rel_pricing, rel_cube, rel_rollup, rel_windows, rel_asof, rel_sets, rel_top_customers, rel_sessions, rel_hourly,
 ]}

@@ -214,6 +214,12 @@ ORACLES = {
     "tag_attributes": """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""",
     "handoff": f"""{_VALID}, g AS (SELECT conv_id, count(*) AS n_rows, count(*) FILTER (reason <> 'ok') AS n_open, min(turn) FILTER (reason <> 'ok') AS first_open FROM j GROUP BY conv_id)
       SELECT *, CASE WHEN n_open = 0 THEN 'success' WHEN n_open < n_rows THEN 'partial' ELSE 'blocked' END AS state FROM g""",
+    "path_check": """SELECT doc_id, [ 'a/b.ks', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ok/name.txt'][doc_id % 10 + 1] AS path,
+      [NULL, 'segment', 'absolute', 'colon', 'segment', 'reserved', 'reserved', 'trailing', 'trailing', NULL][doc_id % 10 + 1] AS reason FROM documents""",
+    "path_collisions": """WITH k AS (SELECT source || CASE WHEN doc_id % 25 = 0 THEN '' ELSE '/' || doc_id % 40 END AS key, source, doc_id % 25 = 0 AS file FROM documents)
+      SELECT key, count(*) AS n, 'same' AS kind FROM k GROUP BY key HAVING count(*) > 1
+      UNION ALL SELECT source, count(*), 'prefix' FROM k WHERE NOT file AND source IN (SELECT key FROM k WHERE file) GROUP BY source""",
+    "pointer_repair": "SELECT conv_id || '/' || turn AS k, '0A000000' AS pointer, sha256(text) AS sha256, 'success' AS status FROM conversations",
     "rel_pricing": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "rel_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
