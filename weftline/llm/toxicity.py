@@ -65,18 +65,23 @@ def letter_words(buf: np.ndarray, offs: np.ndarray):
 def trigram_ids(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigram buckets of the given words and where each word's begin.
 
-    The trigrams are those of the bytes with a blank before and after the word.
+    The trigrams are those of the word's letters with a blank before and after,
+    so they depend on what the word's hash depends on; a word without letters
+    has one trigram of its own.
     """
     low = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.int64)
     at = ranges(ws, we - ws)
-    first = np.zeros(len(at), bool)
-    starts = np.concatenate([[0], np.cumsum(we - ws)])[:-1]
-    first[starts] = True
-    last = np.zeros(len(at), bool)
-    last[np.cumsum(we - ws) - 1] = True
-    mid = low[at]
-    left = np.where(first, 32, low[np.maximum(at - 1, 0)])
-    right = np.where(last, 32, low[np.minimum(at + 1, len(low) - 1)])
+    letter = ((low[at] >= 97) & (low[at] <= 122)) | (low[at] >= 128)
+    word = np.repeat(np.arange(len(ws)), we - ws)[letter]
+    n = np.bincount(word, minlength=len(ws))
+    none = np.flatnonzero(n == 0)
+    mid = np.insert(low[at[letter]], (np.cumsum(n) - n)[none], 0)
+    n = np.maximum(n, 1)
+    starts = np.cumsum(n) - n
+    left, right = np.full(len(mid), 32), np.full(len(mid), 32)
+    left[1:], right[:-1] = mid[:-1], mid[1:]
+    left[starts] = 32
+    right[starts + n - 1] = 32
     code = ((left << 16) | (mid << 8) | right).astype(U64)
     return (mix(code + U64(1)) % U64(N_GRAMS)).astype(np.int64), starts
 
@@ -274,7 +279,29 @@ def start_model(texts: list[bytes], y: np.ndarray, hidden: int, window: int, str
     return BiGru(keys, p, hidden, window, stride)
 
 
-def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80, least_prior: float = 0.25, least_held: int = 25) -> BiGru:
+def buffers(texts: list[bytes], size: int = 1 << 20):
+    """(bytes, offsets) of the texts in groups of about ``size`` bytes."""
+    at = 0
+    while at < len(texts):
+        to, total = at, 0
+        while to < len(texts) and (to == at or total + len(texts[to]) <= size):
+            total += len(texts[to])
+            to += 1
+        yield np.frombuffer(b"".join(texts[at:to]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[at:to]])]).astype(np.int64)
+        at = to
+
+
+def sample_inputs(model: BiGru, texts: list[bytes]):
+    """``inputs`` of all texts, group by group, so that memory is bounded."""
+    parts, words, grams, docs = [], 0, 0, 0
+    for buf, offs in buffers(texts):
+        e, ids, starts, inverse, wd = model.inputs(buf, offs)
+        parts.append((e.astype(np.int32), ids.astype(np.int32), starts + grams, (inverse + words).astype(np.int32), wd + docs))
+        words, grams, docs = words + len(e), grams + len(ids), docs + len(offs) - 1
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80, least_prior: float = 0.25, least_held: int = 25, seed: int = 11) -> BiGru:
     """Train on (UTF-8 text, label) pairs; every fourth of a class calibrates.
 
     ``least_prior``: the calibration takes label 1 for no rarer than this, since
@@ -294,19 +321,17 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
     if len(y) == 0 or y.min() == y.max():
         model.trained, model.prior = False, prior
         return model
-    rng = np.random.default_rng(11)
+    rng = np.random.default_rng(seed)
     p = model.p
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(q) for k, q in p.items()}
-    offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in sample])]).astype(np.int64)
-    buf = np.frombuffer(b"".join(t for t, _ in sample), np.uint8)
-    e, ids, starts, inverse, wd = model.inputs(buf, offs)
+    e, ids, starts, inverse, wd = sample_inputs(model, [t for t, _ in sample])
     first, length, doc = model.windows(wd, len(y))
     size = np.diff(np.concatenate([starts, [len(ids)]]))
     word = np.concatenate([inverse, [len(e)]])
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     cw = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()).astype(F32)
-    step = 0
+    step, n_mean, mean = 0, 0, {k: np.zeros_like(q) for k, q in p.items()}
     epochs = max(epochs, least_steps * batch // len(y))
     for epoch in range(epochs):
         x = model.vectors(e, ids, starts)
@@ -325,7 +350,8 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
             used, local = np.unique(cells, return_inverse=True)
             real = used[used < len(e)]
             # some known words are shown as unknown, so that their letters count
-            seen = np.where(rng.random(len(real)) < blank, 0, e[real])
+            hidden_words = rng.random(len(p["word"])) < blank
+            seen = np.where(hidden_words[e[real]], 0, e[real])
             span = ranges(starts[real], size[real])
             x = model.vectors(seen, ids[span], np.concatenate([[0], np.cumsum(size[real])])[:-1])
             local = local.reshape(cells.shape)
@@ -343,6 +369,11 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
                 m[k] = 0.9 * m[k] + 0.1 * q
                 v[k] = 0.99 * v[k] + 0.01 * q * q
                 p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(F32)
+            if epoch >= epochs // 2:  # the mean of the later steps is steadier than the last
+                n_mean += 1
+                for k in p:
+                    mean[k] += (p[k] - mean[k]) / n_mean
+    model.p = {k: np.asarray(q, F32) for k, q in mean.items()}
     calibrate(model, held, max(prior, least_prior))
     return model
 
@@ -354,8 +385,7 @@ def calibrate(model: BiGru, sample: list[tuple[bytes, int]], prior: float, shy:
     y = np.array([v for _, v in sample], float)
     if len(y) == 0 or y.min() == y.max():
         return
-    offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in sample])]).astype(np.int64)
-    x = model.features(np.frombuffer(b"".join(t for t, _ in sample), np.uint8), offs)
+    x = np.concatenate([model.features(*part) for part in buffers([t for t, _ in sample])])
     cw = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     origin, ridge = np.array([1.0, 0, 0, 0]), np.array([1.0, 1.0, shy, 1e-2])
 
