@@ -143,6 +143,15 @@ def test_gru_gradients(monkeypatch):
         assert abs(slope(x, i) - gx[i]) < 1e-7
 
 
+def test_a_score_does_not_depend_on_its_neighbours(spark, detector):
+    model, d, _ = detector
+    texts = [r.text.encode() for r in d.orderBy("doc_id").limit(60).collect()] + [b"", b"?! ...", b"Idiot!!, IDIOT idiot&&&"]
+    alone = np.concatenate([model.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    together = model.scores(np.frombuffer(b"".join(texts), np.uint8), offs)
+    assert np.allclose(alone, together, atol=1e-4)
+
+
 def test_windows_cover_every_word():
     m = toxicity.start_model([], np.array([], int), 2, 8, 6)
     for n in range(0, 60):
