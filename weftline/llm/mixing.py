@@ -57,6 +57,8 @@ def periods(blocks: DataFrame) -> DataFrame:
     one = one.withColumn("c", F.transform("s", size))
     one = one.withColumn("d", sum_of(F.col("c")))
     one = one.withColumn("start", sum_of(F.transform("s", lambda x: F.least(x.n_blocks, F.col("p_from") * x.share))))
+    # a generator keeps these from being worked out anew wherever they are used
+    one = one.select("s", "p_from", "p_to", F.explode(F.array(F.struct("c", "d", "start"))).alias("x")).select("s", "p_from", "p_to", "x.c", "x.d", "x.start")
 
     # EDF: the state holds how many blocks each source has run; each slot picks
     # the least (deadline, source) among the released ones.
@@ -68,11 +70,11 @@ def periods(blocks: DataFrame) -> DataFrame:
                 F.struct(F.ceil((j + 1) * F.col("d") / F.get("c", i)).alias("deadline"), i.cast("int").alias("i"), j.alias("j")),
             ),
         )
-        pick = F.array_min(ready)
-        return F.struct(
+        run = lambda pick: F.struct(
             F.transform(state.done, lambda j, i: j + (i == pick.i).cast("long")).alias("done"),
             F.concat(state.ran, F.array(F.struct(t.alias("t"), pick.i.alias("i"), pick.j.alias("j"), pick.deadline.alias("deadline")))).alias("ran"),
         )
+        return F.get(F.transform(F.array(F.array_min(ready)), run), 0)  # the pick is bound once
 
     first = F.struct(
         F.transform("c", lambda x: F.lit(0).cast("long")).alias("done"),
