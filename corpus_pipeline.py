@@ -19,6 +19,7 @@ are carried up to stage 4.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    place = [F.col("_metadata.file_path").alias("s"), F.col("_metadata.row_index").alias("row")]
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at)
+    except AnalysisException:  # rows that are in no file yet have no place: write them
+        docs = materialise(docs, "pipeline-unplaced")
+        at = docs.metadataColumn("_metadata")
+    place = [at.getField("file_path").alias("s"), at.getField("row_index").alias("row")]
     seqs = packing.sequences(docs.select("doc_id", "text", *place), packing.word_count(), PACK_MAX).drop("text")
     seqs = materialise(seqs, "pipeline-pack")
     out = packing.pack(seqs, ["s"], [F.col("row"), F.col("piece")], PACK_BUCKETS, PACK_BUDGET)
