@@ -240,6 +240,13 @@ def test_pipeline_stages(spark, sf):
     assert p.run(spark, sf).count() == packed.count()
 
 
+def test_stages_take_rows_that_are_in_no_file(spark, awkward, sf):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, awkward, sf).count() > 0, name
+
+
 def test_pipeline_awkward(spark, awkward, sf):
     import corpus_pipeline as p
 
