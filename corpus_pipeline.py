@@ -6,7 +6,8 @@ last return the columns of ``documents``.  Each works on all that the one
 before has kept.
 
 1. quality: the line CRF, fitted on the labelled documents; those it rejects go.
-2. near-dedup: one document of each SimHash component stays.
+2. near-dedup: one document of each component of near copies stays; near copies
+   have five-word shingle sets of similarity 0.8 or more.
 3. suffix-dedup: repeated strings of 200 bytes or more leave the texts.
 4. mixing: the documents are put in the order of the Pfair mixture; the order is
    that of the written files.
@@ -23,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import line_crf, mixing, packing, simhash, suffix_dedup
+from weftline.llm import line_crf, mixing, near_copies, packing, suffix_dedup
 from weftline.llm._spark import held, materialise, table
 from weftline.llm.queries import MIX_BLOCK, MIX_OTHER, MIX_WEIGHTS, PACK_BUCKETS, PACK_BUDGET, PACK_MAX
 
@@ -37,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

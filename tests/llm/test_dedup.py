@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import _text, ann, simhash, site_style, suffix_dedup
+from weftline.llm import _text, ann, near_copies, simhash, site_style, suffix_dedup
 from weftline.llm._spark import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -256,3 +256,53 @@ def test_pipeline_awkward(spark, awkward, sf):
             docs = materialise(stage(spark, docs, sf), f"test-{name}")
             if name != "packing":
                 assert docs.columns == start.columns
+
+
+# -- near copies -------------------------------------------------------------
+
+
+def shingles(text, width=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def least_similar(items):
+    """(id, text) rows -> least id of each row's component of similarity 0.8."""
+    held = [shingles(t) for _, t in items]
+    parent = list(range(len(items)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(held):
+        for j, b in enumerate(held[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (k, _) in enumerate(items):
+        if k is not None:
+            low[find(i)] = min(low.get(find(i), k), k)
+    return {low.get(find(i)) for i in range(len(items))} - {None}
+
+
+def test_near_dedup_keeps_one_of_similarity_080(spark, documents, sf):
+    """Copies with ever more words changed, the last below the similarity."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    k = 10**6
+    for _ in range(30):
+        w = [rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(rng.randint(60, 300))]
+        rows.append((k, " ".join(w)))
+        for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.06):
+            k += 1
+            rows.append((k, "  ".join(x.upper() if rng.random() > share else "new" + str(rng.random()) for x in w)))
+        k += 1
+    df = spark.createDataFrame([(a, t, "en", "s", len(t)) for a, t in rows], documents.schema)
+    got = sorted(r.doc_id for r in p.near_dedup(spark, df, sf).collect())
+    assert got == sorted(least_similar(rows))
+    one = sorted(r.doc_id for r in near_copies.keep_one(df, slice_bytes=2000).collect())
+    assert one == got

@@ -228,8 +228,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: st
     """(doc_id, fp, component_id, root, text_hash) for every row of ``docs``;
     ``root`` names the component by a fingerprint."""
     fps = materialise(fingerprint(docs, width, doc_id, text), "simhash")
+    return members(fps, components(links(fps.select("fp").distinct(), radius)), doc_id)
+
+
+def members(fps: DataFrame, comp: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id, root, text_hash) for every row of ``fps``
+    (doc_id, fp, text_hash), by the ``components`` of its fingerprints."""
     nodes = fps.groupBy("fp").agg(F.min(doc_id).alias("__low"))
-    comp = components(links(nodes.select("fp"), radius)).select(F.col("v").alias("fp"), "root")
+    comp = comp.select(F.col("v").alias("fp"), "root")
     node = nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     node = materialise(node, "simhash-nodes")
     least = node.groupBy("root").agg(F.min("__low").alias("component_id"))
@@ -241,7 +247,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """The rows of ``docs`` without all but one of each component: a row with its
     least id stays, of several texts with that id the one of least hash, and of
     equal such rows any one.  Rows without an id stay."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    return keep_found(docs, near_duplicates(docs, doc_id=doc_id, text=text, **options), doc_id, text)
+
+
+def keep_found(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``keep_one`` for components that are ``found`` already."""
     won = found.where(F.col(doc_id) == F.col("component_id")).groupBy("root").agg(F.min(doc_id).alias(doc_id), F.min("text_hash").alias("__weft_h"), F.count(F.lit(1)).alias("__weft_n"))
     won = materialise(won.groupBy(doc_id, "__weft_h").agg(F.sum("__weft_n").alias("__weft_n")), "simhash-kept")
     keyed = docs.withColumn("__weft_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
