@@ -135,3 +135,12 @@ def test_charsets(spark):
     assert [r[0] for r in df.select(charset.decode_strict(F.col("b"), "cp932")).collect()] == ["あ", None, None]
     with pytest.raises(ValueError):
         charset.substitute(F.lit("x"), {"a": "x", "b": "x"})
+
+
+def test_codec_roundtrip_of_a_text_above_16_mib(spark, tmp_path):
+    from weftline.plans import catalogue
+
+    texts = {1: "abcdefg\n" * ((1 << 21) + 1), 2: "", 3: "é", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: t if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+    assert {r.doc_id: r.sha256 for r in catalogue.codec_roundtrip(spark, str(tmp_path)).collect()} == want

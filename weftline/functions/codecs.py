@@ -208,6 +208,24 @@ def decode(data: Column, codec: str, limit: int) -> Column:
     return data if codec == "raw" else bytes_udf(lambda d: fn(d, limit))(data)
 
 
+def decode_sized(data: Column, codec: str, size: Column) -> Column:
+    """Decoded bytes, null if the input is not exactly one stream of at most
+    ``size`` bytes, known for each row."""
+    fn = DECODERS[codec]
+
+    def run(col: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for v, n in zip(col, sizes, strict=True):
+            try:  # one more than the size: a limit of 0 is none, and an exact one can end before the stream's trailer
+                got = None if v is None else fn(bytes(v), int(n) + 1)
+                out.append(None if got is None or len(got) > n else got)
+            except (ValueError, IndexError, zlib.error, lzma.LZMAError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, T.BinaryType())(data, size)
+
+
 def deflate(data: Column, level: int = 6) -> Column:
     return bytes_udf(lambda d: zlib.compress(d, level))(data)
 

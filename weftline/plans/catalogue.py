@@ -392,8 +392,8 @@ def incremental_patch(s, d):
 
 def codec_roundtrip(s, d):
     b = F.encode("text", "UTF-8")
-    k = load(s, d, "documents").select("doc_id", codecs.deflate(b).alias("z"))
-    return k.select("doc_id", F.sha2(codecs.decode(F.col("z"), "zlib", 1 << 24), 256).alias("sha256"))
+    k = load(s, d, "documents").select("doc_id", codecs.deflate(b).alias("z"), F.octet_length(b).alias("n"))
+    return k.select("doc_id", F.sha2(codecs.decode_sized(F.col("z"), "zlib", F.col("n")), 256).alias("sha256"))
 
 
 def codec_bounded(s, d):
