@@ -15,12 +15,17 @@ from weftline.functions import charset, codecs
 from weftline.sources import containers, publish
 
 
-def test_inflate_takes_one_bounded_stream():
-    z = zlib.compress(b"abc" * 100)
-    assert codecs.inflate(z, 300) == b"abc" * 100
-    for bad, limit in ((z, 299), (z + b"x", 300), (z[:-1], 300)):
-        with pytest.raises((ValueError, zlib.error)):
-            codecs.inflate(bad, limit)
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=200), st.integers(0, 260), st.sampled_from(["whole", "cut", "longer"]), st.integers(1, 9))
+def test_bounded_streams_are_whole_or_refused(data, limit, shape, n):
+    for pack, unpack in ((zlib.compress, codecs.inflate), (lzma.compress, codecs.unlzma)):
+        z = pack(data)
+        z = {"whole": z, "cut": z[: len(z) - min(n, len(z))], "longer": z + b"\x01" * n}[shape]
+        if shape == "whole" and len(data) <= limit:
+            assert unpack(z, limit) == data
+        else:
+            with pytest.raises((ValueError, zlib.error, lzma.LZMAError)):
+                unpack(z, limit)
 
 
 def test_lz4_by_hand():

@@ -22,16 +22,16 @@ from pyspark.sql import types as T
 def inflate(data: bytes, limit: int) -> bytes:
     """Exactly one zlib stream of at most ``limit`` bytes, nothing behind it."""
     d = zlib.decompressobj()
-    out = d.decompress(data, limit)
-    if not d.eof or d.unconsumed_tail or d.unused_data:
+    out = d.decompress(data, limit + 1)  # one more: for zlib a limit of 0 is none
+    if len(out) > limit or not d.eof or d.unused_data:
         raise ValueError("not one bounded zlib stream")
     return out
 
 
 def unlzma(data: bytes, limit: int) -> bytes:
     d = lzma.LZMADecompressor(memlimit=1 << 28)
-    out = d.decompress(data, limit)
-    if not d.eof or d.unused_data:
+    out = d.decompress(data, limit + 1)
+    if len(out) > limit or not d.eof or d.unused_data:
         raise ValueError("not one bounded lzma stream")
     return out
 
@@ -122,11 +122,11 @@ def xor_position(data: bytes, seed: int) -> bytes:
 
 def xor_lcg(data: bytes, seed: int, a: int = 1103515245, c: int = 12345) -> bytes:
     """XOR with the third byte of a linear congruential sequence modulo 2**32."""
-    out, x = bytearray(data), seed
-    for i in range(len(out)):
-        x = (x * a + c) & 0xFFFFFFFF
-        out[i] ^= x >> 16 & 0xFF
-    return bytes(out)
+    n = len(data)
+    # x_i = a**i * seed + c * (1 + a + ... + a**(i-1)), wrapping
+    power = np.multiply.accumulate(np.concatenate([[1], np.full(n, a & 0xFFFFFFFF)]).astype(np.uint32))
+    x = power[1:] * np.uint32(seed & 0xFFFFFFFF) + np.cumsum(power[:-1], dtype=np.uint32) * np.uint32(c)
+    return (np.frombuffer(data, np.uint8) ^ (x >> 16).astype(np.uint8)).tobytes()
 
 
 def swap_nibbles(data: bytes) -> bytes:
@@ -216,9 +216,8 @@ def decode_sized(data: Column, codec: str, size: Column) -> Column:
     def run(col: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
         for v, n in zip(col, sizes, strict=True):
-            try:  # one more than the size: a limit of 0 is none, and an exact one can end before the stream's trailer
-                got = None if v is None else fn(bytes(v), int(n) + 1)
-                out.append(None if got is None or len(got) > n else got)
+            try:
+                out.append(None if v is None else fn(bytes(v), int(n)))
             except (ValueError, IndexError, zlib.error, lzma.LZMAError):
                 out.append(None)
         return pd.Series(out, dtype=object)

@@ -21,8 +21,11 @@ def splice(data: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def moved(address: int, edits: list[tuple[int, int, bytes]]) -> int:
-    """Where an address lies after the edits; none inside a replaced span."""
+def moved(address: int, edits: list[tuple[int, int, bytes]], size: int) -> int:
+    """Where an address of ``size`` old bytes (the end included) lies after the
+    edits; none inside a replaced span."""
+    if not 0 <= address <= size:
+        raise ValueError("address outside the data")
     k = bisect_right([s for s, _, _ in edits], address)
     if k and edits[k - 1][0] < address < edits[k - 1][1]:
         raise ValueError("address inside an edit")
@@ -31,17 +34,27 @@ def moved(address: int, edits: list[tuple[int, int, bytes]]) -> int:
 
 def repair(data: bytes, edits: list[tuple[int, int, bytes]], fields: list[int], base: int = 0, unit: int = 1, order: str = "<") -> bytes:
     """Splice, then rewrite the u32 pointers at the old offsets ``fields``, which
-    count ``unit`` bytes from ``base``.  A field inside an edit is refused."""
-    edits = sorted(edits)
+    count ``unit`` bytes from ``base``; the base is an old address and moves too.
+
+    Refused: a field outside the data, inside an edit or over another field, and
+    a target outside the data or inside an edit.
+    """
+    if unit < 1:
+        raise ValueError("unit below 1")
+    edits, n = sorted(edits), len(data)
     out = bytearray(splice(data, edits))
+    fields = sorted(fields)
+    if any(b - a < 4 for a, b in zip(fields, fields[1:])):
+        raise ValueError("fields overlap")
+    start = moved(base, edits, n)
     for f in fields:
-        if not 0 <= f <= len(data) - 4 or any(s < f + 4 and f < e for s, e, _ in edits):
+        if not 0 <= f <= n - 4 or any(s < f + 4 and f < e for s, e, _ in edits):
             raise ValueError("field outside the data or inside an edit")
         (v,) = struct.unpack_from(order + "I", data, f)
-        to = moved(base + v * unit, edits) - base
+        to = moved(base + v * unit, edits, n) - start
         if to % unit or not 0 <= to // unit < 1 << 32:
             raise ValueError("pointer cannot hold its target")
-        struct.pack_into(order + "I", out, moved(f, edits), to // unit)
+        struct.pack_into(order + "I", out, moved(f, edits, n), to // unit)
     return bytes(out)
 
 

@@ -36,9 +36,21 @@ def glob(column: Column, pattern: str) -> Column:
 
 
 def disambiguate(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names made unique regardless of case: later holders get ``_<k>``."""
-    k = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return rows.withColumn("slot_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), (k - 1).cast("string"))))
+    """Names made unique regardless of case: the first holder of a name keeps it,
+    the i-th later one gets ``_<k>`` with the i-th k that no name of the table has
+    already.
+
+    Names that differ before their last ``_<k>`` never meet, so one left join
+    with the taken numbers of each name is enough.
+    """
+    key = F.lower(name)
+    i = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    numbered = rows.withColumn("__key", key).withColumn("__i", i.cast("long"))
+    parts = rows.select(F.regexp_extract(key, r"(?s)^(.*)_([1-9]\d{0,17})$", 1).alias("__key"), F.regexp_extract(key, r"(?s)^(.*)_([1-9]\d{0,17})$", 2).alias("k")).where("k <> ''")
+    taken = parts.select("__key", F.col("k").cast("long").alias("k")).distinct().groupBy("__key").agg(F.sort_array(F.collect_list("k")).alias("__taken"))
+    out = numbered.join(taken, "__key", "left")
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__i"), lambda k, t: k + (t <= k).cast("long"))
+    return out.withColumn("slot_name", F.when(F.col("__i") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), free.cast("string")))).drop("__key", "__i", "__taken")
 
 
 def expand_refs(entries: DataFrame, pool: DataFrame, ref: str, index: str) -> DataFrame:

@@ -6,8 +6,10 @@ overlapping; offsets are code points of the text unless said otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def overlaps(edits: DataFrame, doc: str) -> DataFrame:
@@ -24,34 +26,50 @@ def relocate(spans: DataFrame, doc: str, order: str, delta: Column) -> DataFrame
 
 
 def map_addresses(addresses: DataFrame, edits: DataFrame, doc: str, address: str) -> DataFrame:
-    """(.., mapped, inside): where an old address lies after the edits; inside an
+    """(.., inside, mapped): where an old address lies after the edits; inside an
     edited span there is none.
 
-    The edits of a document are one array (its own edits, not the corpus').
+    As-of over the union of addresses and edges of edits: one window per
+    document, linear in both.  At one position an edit's end counts before the
+    address and its start behind it.
     """
-    e = edits.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.length("replacement").alias("n")))).alias("__e"))
-    j = addresses.join(e, doc, "left")
-    a = F.col(address)
-    before = F.filter("__e", lambda x: x.end <= a)
-    shift = F.aggregate(F.coalesce(before, F.array().cast("array<struct<start:bigint,end:bigint,n:int>>")), F.lit(0).cast("long"), lambda s, x: s + x.n - (x.end - x.start))
-    inside = F.coalesce(F.exists("__e", lambda x: (x.start < a) & (a < x.end)), F.lit(False))
-    return j.withColumn("inside", inside).withColumn("mapped", F.when(~F.col("inside"), a + shift)).drop("__e")
+    row = addresses.select(F.col(doc).alias("__d"), F.col(address).cast("long").alias("__p"), F.lit(1).alias("__k"), F.lit(0).cast("long").alias("__by"), F.lit(None).cast("long").alias("__e"), F.struct(*addresses.columns).alias("__row"))
+    none = F.lit(None).cast(row.schema["__row"].dataType).alias("__row")
+    by = F.length("replacement").cast("long") - (F.col("end") - F.col("start"))
+    edges = F.array(F.struct(F.col("end").alias("p"), F.lit(0).alias("k"), by.alias("by"), F.lit(None).cast("long").alias("e")), F.struct(F.col("start").alias("p"), F.lit(2).alias("k"), F.lit(0).cast("long").alias("by"), F.col("end").alias("e")))
+    edge = edits.select(F.col(doc).alias("__d"), F.explode(edges).alias("x")).select("__d", F.col("x.p").alias("__p"), F.col("x.k").alias("__k"), F.col("x.by").alias("__by"), F.col("x.e").alias("__e"), none)
+    w = Window.partitionBy("__d").orderBy("__p", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    both = row.unionByName(edge).withColumn("__shift", F.sum("__by").over(w)).withColumn("__until", F.last("__e", True).over(w)).where("__k = 1")
+    out = both.withColumn("inside", F.coalesce(F.col("__until") > F.col("__p"), F.lit(False)))
+    return out.select("__row.*", "inside", F.when(~F.col("inside"), F.col("__p") + F.col("__shift")).alias("mapped"))
 
 
 def splice(docs: DataFrame, edits: DataFrame, doc: str, text: str, out: str = "spliced") -> DataFrame:
-    """Texts with all edits applied at once: kept pieces and replacements in
-    order, joined."""
+    """Texts with all edits applied at once, and splice_status: a text whose edits
+    overlap, are empty or leave it is blocked and has none.
+
+    The pieces are cut in one pass over the sorted edits (Arrow batches).
+    """
     e = edits.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("__e"))
-    j = docs.join(e, doc, "left")
-    t = F.col(text)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("p"))
-    pieces = F.aggregate(
-        F.coalesce("__e", F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>")),
-        first,
-        lambda s, x: F.struct(x.end.alias("at"), F.concat(s.p, F.array(F.substring(t, (s.at + 1).cast("int"), (x.start - s.at).cast("int")), x.replacement)).alias("p")),
-        lambda s: F.concat(F.array_join(s.p, ""), F.substring(t, (s.at + 1).cast("int"), F.length(t))),
-    )
-    return j.withColumn(out, pieces).drop("__e")
+
+    def run(texts: pd.Series, every: pd.Series) -> pd.Series:
+        return pd.Series([_spliced(t, e) for t, e in zip(texts, every, strict=True)], dtype=object)
+
+    j = docs.join(e, doc, "left").withColumn(out, F.pandas_udf(run, T.StringType())(F.col(text), F.col("__e")))
+    state = F.when(F.col(out).isNull() & F.col(text).isNotNull(), "blocked").otherwise("success")
+    return j.withColumn("splice_status", state).drop("__e")
+
+
+def _spliced(text, edits):
+    if text is None:
+        return None
+    pieces, at = [], 0
+    for e in edits if edits is not None else []:
+        if not at <= e["start"] < e["end"] <= len(text):
+            return None
+        pieces += [text[at : e["start"]], e["replacement"] or ""]
+        at = e["end"]
+    return "".join([*pieces, text[at:]])
 
 
 def consistent_rename(pairs: DataFrame, before: str, after: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import path_key
 
 #: Device names that no file may have, with any extension.
-RESERVED = frozenset("con prn aux nul com1 com2 com3 com4 com5 com6 com7 com8 com9 com¹ com² com³ lpt1 lpt2 lpt3 lpt4 lpt5 lpt6 lpt7 lpt8 lpt9 lpt¹ lpt² lpt³".split())
+RESERVED = frozenset("con prn aux nul clock$ conin$ conout$ com1 com2 com3 com4 com5 com6 com7 com8 com9 com¹ com² com³ lpt1 lpt2 lpt3 lpt4 lpt5 lpt6 lpt7 lpt8 lpt9 lpt¹ lpt² lpt³".split())
 
 
 def _normal(path: str | None) -> tuple[str | None, str | None]:
@@ -25,6 +25,8 @@ def _normal(path: str | None) -> tuple[str | None, str | None]:
         return None, "absolute"
     if ":" in p:
         return None, "colon"
+    if re.search(r'[*?"<>|]', p):
+        return None, "wildcard"
     for part in p.split("/"):
         if part in ("", ".", ".."):
             return None, "segment"

@@ -28,12 +28,14 @@ def by_position(refs: DataFrame, table: DataFrame, ref: str, index: str = "index
     return refs.join(table.withColumnRenamed(index, ref), ref, "left")
 
 
-def in_ranges(rows: DataFrame, point: Column, ranges: DataFrame, low: str, high: str) -> DataFrame:
+def in_ranges(rows: DataFrame, point: Column, ranges: DataFrame, low: str, high: str, max_ranges: int = 100_000) -> DataFrame:
     """Rows with the range that holds them, low <= point < high.
 
-    ``ranges`` is a small table of disjoint ranges (a plan constant): it is the
-    broadcast side of a range join.  Larger sets should be binned first.
+    ``ranges`` is a table of disjoint ranges, broadcast if it is counted at
+    ``max_ranges`` or less; larger ones belong to ``in_binned_ranges``.
     """
+    if ranges.limit(max_ranges + 1).count() > max_ranges:
+        raise ValueError("too many ranges to broadcast: use in_binned_ranges")
     return rows.join(F.broadcast(ranges), (point >= F.col(low)) & (point < F.col(high)), "left")
 
 

@@ -14,15 +14,20 @@ def split_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line", "body")).withColumn("line", F.col("line").cast("long"))
 
 
+#: White space that ends of lines are trimmed of: all of Unicode's.
+SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
+
+
 def line_kind(body: Column) -> Column:
-    """blank, comment (; or //), label (*), link ([...]), command (@ or #) or text."""
-    t = F.trim(body)
+    """blank, comment (; or //), label (*), linetag (#), command ([) or text, by
+    the first characters behind white space."""
+    t = F.btrim(body, F.lit(SPACE))
     return (
         F.when(t == "", "blank")
         .when(t.startswith(";") | t.startswith("//"), "comment")
         .when(t.startswith("*"), "label")
-        .when(t.startswith("[") & t.endswith("]"), "linetag")
-        .when(t.startswith("@") | t.startswith("#"), "command")
+        .when(t.startswith("#"), "linetag")
+        .when(t.startswith("["), "command")
         .otherwise("text")
     )
 

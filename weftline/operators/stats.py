@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _entropy(counts: np.ndarray) -> float:
+    n = counts.sum()
+    return float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
 def char_entropy(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, n_chars, entropy): Shannon entropy of the characters in bits.
+    """(doc, n_chars, entropy): Shannon entropy of the characters in bits; texts
+    without characters give no row.  Counted within the row, without a shuffle."""
 
-    Two partial aggregates; no text leaves its row before it is counted.
-    """
-    c = docs.select(doc, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(doc, "c").agg(F.count(F.lit(1)).alias("n"))
-    g = c.groupBy(doc).agg(F.sum("n").alias("n_chars"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return g.select(doc, "n_chars", (F.log2("n_chars") - F.col("s") / F.col("n_chars")).alias("entropy"))
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: _entropy(np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)[1]) if t else None).astype("Float64")
+
+    out = docs.where(F.char_length(text) > 0).select(doc, F.char_length(text).cast("long").alias("n_chars"), F.pandas_udf(run, T.DoubleType())(F.col(text)).alias("entropy"))
+    return out
+
+
+def byte_entropy(data: Column, first: int = 1 << 20) -> Column:
+    """Shannon entropy of the first MiB of bytes in bits (a probe's own bound); 0
+    for none."""
+
+    def run(col: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None:
+                return None
+            n = np.bincount(np.frombuffer(bytes(v)[:first], np.uint8), minlength=256)
+            return _entropy(n[n > 0]) if len(v) else 0.0
+
+        return col.map(one).astype("Float64")
+
+    return F.pandas_udf(run, T.DoubleType())(data)
 
 
 def merge_hits(hits: DataFrame, key: list[str], item: str, more: int = 4) -> DataFrame:
     """(key, first, others, n): the least item stands for all, the next few are
-    listed, and all are counted."""
-    g = hits.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.select(*key, F.col("s")[0].alias("first"), F.slice("s", 2, more).alias("others"), "n")
+    listed, and all are counted.  Only a bounded top-k of a key is collected."""
+    n = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(item))
+    top = hits.select(*key, item, place.alias("__p")).where(F.col("__p") <= more + 1)
+    top = top.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("s"))
+    keyed = n.join(top, [n[k].eqNullSafe(top[k]) for k in key], "left")
+    return keyed.select(*[n[k] for k in key], F.get("s", F.lit(0)).alias("first"), F.slice("s", 2, more).alias("others"), "n")
 
 
 def top_with_floor(hits: DataFrame, group: str, strength: Column, seq: str, k: int) -> DataFrame:

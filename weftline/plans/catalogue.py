@@ -70,7 +70,7 @@ def override_chain(s, d):
 def loose_or_packed(s, d):
     docs = load(s, d, "documents").select(F.col("doc_id").alias("k"), F.md5("text").alias("digest"))
     loose = docs.where("k % 3 <> 0")
-    packed = docs.where("k % 2 = 0").withColumn("digest", F.when(F.col("k") % 4 == 0, F.lit("other")).otherwise(F.col("digest")))
+    packed = docs.where("k % 2 = 0 or k % 3 = 0").withColumn("digest", F.when(F.col("k") % 4 == 0, F.lit("other")).otherwise(F.col("digest")))
     return overlay.loose_or_packed(loose, packed, "k", "digest")
 
 
@@ -131,6 +131,10 @@ def char_entropy(s, d):
     return stats.char_entropy(load(s, d, "documents"), "doc_id", "text").withColumn("entropy", F.round("entropy", 3))
 
 
+def byte_entropy(s, d):
+    return load(s, d, "conversations").select("conv_id", "turn", F.round(stats.byte_entropy(F.encode("text", "UTF-8")), 3).alias("entropy"))
+
+
 def merge_hits(s, d):
     out = stats.merge_hits(load(s, d, "events"), ["user_id", "event_type"], "event_id")
     return out.withColumn("others", F.array_join(F.transform("others", lambda x: x.cast("string")), ","))
@@ -274,7 +278,8 @@ def name_pattern(s, d):
 
 
 def disambiguate(s, d):
-    return catalog.disambiguate(load(s, d, "part"), "p_name", "p_partkey").select("p_partkey", "slot_name")
+    k = load(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("_"), (F.col("p_partkey") % 3 + 1).cast("string"))).otherwise(F.col("p_name")).alias("p_name"))
+    return catalog.disambiguate(k, "p_name", "p_partkey").select("p_partkey", "slot_name")
 
 
 def expand_refs(s, d):
@@ -324,7 +329,7 @@ def charset_plan(s, d):
 
 
 def variants(s, d):
-    k = load(s, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("stem")).where("p_partkey % 10 = 0")
+    k = load(s, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("stem"))
     return tx.name_variants(k, "stem", [".txt", ".bin", ".dat"])
 
 
@@ -387,7 +392,9 @@ def container_replace(s, d):
 def incremental_patch(s, d):
     old = _members(s, d)
     new = old.withColumn("payload", F.when(F.col("ordinal") % 9 == 0, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("payload")))
-    return containers.changed_members(new, old).select("container", "name", F.sha2("payload", 256).alias("sha256"))
+    new = new.withColumn("name", F.when(F.col("ordinal") % 4 == 1, F.concat(F.lit("alt/"), (F.col("ordinal") - 1).cast("string"), F.lit(".txt"))).otherwise(F.col("name")))
+    out = containers.flat_patch(containers.changed_members(new, old), new)
+    return out.select("container", "name", F.sha2("payload", 256).alias("sha256"), "conflict", "packed_as")
 
 
 def codec_roundtrip(s, d):
@@ -432,8 +439,7 @@ def encoding_guess(s, d):
 def publish_roundtrip(s, d):
     k = load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     path = windows.shared(s, "publish")
-    publish.publish(k, path)
-    if not publish.read_back(k, path):
+    if not publish.holds(publish.publish(k, path), path, k.schema, s):
         raise RuntimeError("read-back differs")
     return s.read.parquet(path)
 
@@ -630,7 +636,7 @@ def rel_hourly(s, d):
 
 QUERIES = {f.__name__: f for f in [
     line_kind, content_kind, first_lines, paragraphs, tag_inventory, section_mask, speaker_ffill, one_shot_speaker, overlay_last_wins, override_chain, loose_or_packed, first_seen,
-    missing_rows, present_rows, key_set_equality, dict_ambiguity, default_name, positional_join, two_hop_fk, range_tag, range_join_binned, char_entropy, merge_hits, evidence_topk,
+    missing_rows, present_rows, key_set_equality, dict_ambiguity, default_name, positional_join, two_hop_fk, range_tag, range_join_binned, char_entropy, byte_entropy, merge_hits, evidence_topk,
     ordered_counts, largest_per_group, refcount, series_extend, range_merge, cumulative_budget, dup_groups, pooled_values, conditional_counts, row_export, manifest, validate_rows,
     status_gate, rows_equal, token_multiset, offset_map, splice_text, map_addresses, overlap_check, consistent_rename, fixed_slot, pool_offsets, clone_references, paged_catalog,
     name_pattern, disambiguate, expand_refs, json_leaf, json_canonical, header_cells, preview, name_split, ruby_strip, letter_ranges, charset_plan, variants, quoted_tokens,

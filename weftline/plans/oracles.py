@@ -6,9 +6,10 @@ _LINES = """lines AS (
   SELECT doc_id, CAST(unnest(range(0, len(l))) AS BIGINT) AS line, unnest(l) AS body
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
-_KIND = """CASE WHEN trim(body) = '' THEN 'blank' WHEN starts_with(trim(body), ';') OR starts_with(trim(body), '//') THEN 'comment'
-  WHEN starts_with(trim(body), '*') THEN 'label' WHEN starts_with(trim(body), '[') AND ends_with(trim(body), ']') THEN 'linetag'
-  WHEN starts_with(trim(body), '@') OR starts_with(trim(body), '#') THEN 'command' ELSE 'text' END"""
+_SPACES = " || ".join(f"chr({ord(c)})" for c in map(chr, range(0x3001)) if c.isspace())
+_BARE = f"trim(body, {_SPACES})"
+_KIND = f"""CASE WHEN {_BARE} = '' THEN 'blank' WHEN starts_with({_BARE}, ';') OR starts_with({_BARE}, '//') THEN 'comment'
+  WHEN starts_with({_BARE}, '*') THEN 'label' WHEN starts_with({_BARE}, '#') THEN 'linetag' WHEN starts_with({_BARE}, '[') THEN 'command' ELSE 'text' END"""
 
 _SPANS = f"""{_LINES},
 spans AS (
@@ -63,7 +64,7 @@ ORACLES = {
     "override_chain": """SELECT user_id, event_type, l[-1] AS winner, array_to_string(l[:-2], ',') AS losers FROM (
       SELECT user_id, event_type, list(event_id ORDER BY event_id) AS l FROM events GROUP BY ALL)""",
     "loose_or_packed": """WITH d AS (SELECT doc_id AS k, md5(text) AS digest FROM documents),
-      a AS (SELECT k, digest AS d1 FROM d WHERE k % 3 <> 0), b AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'other' ELSE digest END AS d2 FROM d WHERE k % 2 = 0)
+      a AS (SELECT k, digest AS d1 FROM d WHERE k % 3 <> 0), b AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'other' ELSE digest END AS d2 FROM d WHERE k % 2 = 0 OR k % 3 = 0)
       SELECT k, CASE WHEN d1 IS NULL THEN 'packed' WHEN d2 IS NULL THEN 'loose' WHEN d1 = d2 THEN 'same' ELSE 'override' END AS state, coalesce(d1, d2) AS digest FROM a FULL JOIN b USING (k)""",
     "first_seen": "SELECT user_id, min(event_id) AS first_seen, count(*) AS n FROM events GROUP BY user_id",
     "missing_rows": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -83,6 +84,10 @@ ORACLES = {
     "range_join_binned": "SELECT event_id, p_partkey FROM events JOIN part ON event_id >= p_partkey * 7 AND event_id < p_partkey * 7 + p_size",
     "char_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), h AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL)
       SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_chars, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 3) AS entropy FROM h GROUP BY doc_id""",
+    "byte_entropy": """WITH b AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations),
+      c AS (SELECT conv_id, turn, substr(h, 2 * i - 1, 2) AS c FROM b, LATERAL (SELECT unnest(range(1, length(h) // 2 + 1)) AS i)), k AS (SELECT conv_id, turn, c, count(*) AS n FROM c GROUP BY ALL),
+      e AS (SELECT conv_id, turn, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 3) AS entropy FROM k GROUP BY ALL)
+      SELECT conv_id, turn, coalesce(entropy, 0) AS entropy FROM conversations LEFT JOIN e USING (conv_id, turn)""",
     "merge_hits": """SELECT user_id, event_type, l[1] AS first, array_to_string(l[2:5], ',') AS others, CAST(len(l) AS BIGINT) AS n
       FROM (SELECT user_id, event_type, list(event_id ORDER BY event_id) AS l FROM events GROUP BY ALL)""",
     "evidence_topk": """WITH s AS (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END AS st FROM events),
@@ -139,7 +144,11 @@ ORACLES = {
       SELECT *, (SELECT count(*) FROM h) AS total, CAST(least(10, greatest((SELECT count(*) FROM h) - 3, 0)) AS BIGINT) AS returned,
              CASE WHEN (SELECT count(*) FROM h) > 13 THEN CAST(13 AS BIGINT) END AS next_offset FROM h ORDER BY p_partkey LIMIT 10 OFFSET 3""",
     "name_pattern": "SELECT p_partkey, p_name FROM part WHERE regexp_full_match(lower(p_name), 'r.d.*')",
-    "disambiguate": "SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE p_name || '_' || (k - 1) END AS slot_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part)",
+    "disambiguate": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '_' || (p_partkey % 3 + 1) ELSE p_name END AS name FROM part),
+      r AS (SELECT *, lower(name) AS low, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) - 1 AS i FROM p),
+      free AS (SELECT b.low, k, row_number() OVER (PARTITION BY b.low ORDER BY k) AS i
+        FROM (SELECT low, count(*) AS n FROM r GROUP BY low) b, LATERAL (SELECT unnest(range(1, b.n + 5)) AS k) WHERE b.low || '_' || k NOT IN (SELECT low FROM r))
+      SELECT p_partkey, name || CASE WHEN r.i = 0 THEN '' ELSE '_' || k END AS slot_name FROM r LEFT JOIN free ON free.low = r.low AND free.i = r.i""",
     "expand_refs": """WITH pool AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS ref FROM (SELECT DISTINCT p_type AS value FROM part))
       SELECT p_partkey, CAST(p_size % 9 AS BIGINT) AS ref, value, value IS NULL AS bad FROM part LEFT JOIN pool ON pool.ref = p_size % 9""",
     "json_leaf": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
@@ -152,7 +161,7 @@ ORACLES = {
     "letter_ranges": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[à-ÿ]')) AS BIGINT) AS n_accented, CAST(len(regexp_extract_all(text, '[一-鿿]')) AS BIGINT) AS n_han FROM documents",
     "charset_plan": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), g AS (SELECT c, count(*) AS n, min(doc_id) AS first_doc FROM c WHERE c <> '' AND unicode(c) > 127 GROUP BY c)
       SELECT *, 63743 - row_number() OVER (ORDER BY c) + 1 AS proxy FROM g""",
-    "variants": """WITH v AS (SELECT replace(p_name, ' ', '_') || unnest(['.txt', '.bin', '.dat']) AS candidate FROM part WHERE p_partkey % 10 = 0)
+    "variants": """WITH v AS (SELECT replace(p_name, ' ', '_') || unnest(['.txt', '.bin', '.dat']) AS candidate FROM part)
       SELECT lower(candidate) AS key, min(candidate) AS candidate FROM v GROUP BY 1""",
     "quoted_tokens": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS token FROM pages""",
     "utf16_units": "SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS n_units FROM documents",
@@ -163,7 +172,11 @@ ORACLES = {
     "container_records": "SELECT CAST(conv_id AS VARCHAR) AS container, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, sha256(text) AS sha256 FROM conversations",
     "container_index": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE doc_id % 10 = 7",
     "container_replace": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, sha256(CASE WHEN doc_id % 10 = 3 THEN 'replaced' ELSE text END) AS sha256 FROM documents",
-    "incremental_patch": "SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, sha256('x') AS sha256 FROM documents WHERE doc_id % 9 = 0 AND text <> 'x'",
+    "incremental_patch": """WITH n AS (SELECT source AS container, CASE WHEN doc_id % 4 = 1 THEN 'alt/' || (doc_id - 1) ELSE 'dir/' || doc_id END || '.txt' AS name, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE text END AS t FROM documents),
+      o AS (SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, text AS t FROM documents),
+      b AS (SELECT container, lower(split_part(name, '/', -1)) AS base, count(*) AS k FROM n GROUP BY ALL)
+      SELECT n.container, n.name, sha256(n.t) AS sha256, k > 1 AS conflict, CASE WHEN k = 1 THEN split_part(n.name, '/', -1) END AS packed_as
+      FROM n JOIN b ON b.container = n.container AND base = lower(split_part(n.name, '/', -1)) ANTI JOIN o ON o.container = n.container AND o.name = n.name AND o.t = n.t""",
     "codec_roundtrip": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "codec_bounded": "SELECT doc_id, strlen(text) <= 2000 AS fits FROM documents",
     "keyed_bytes": "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations",

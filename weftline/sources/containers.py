@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import inflate
+from ..functions.text import path_key
 
-#: Fixed value of the chunked format.
+#: Fixed values of the chunked format: the magic, and the tags File, info, segm
+#: and adlr of its index with their field order.
 CHUNKED_MAGIC = b"XP3\r\n \n\x1a\x8bg\x01"
 INDEX = "container string, ordinal long, name string, offset long, size long, stored_size long, codec string, checksum long, status string, reason string"
 
@@ -81,7 +83,7 @@ def _chunked(b: bytes, limit: int = 1 << 28):
     if flag == 1:
         stored, size = struct.unpack_from("<QQ", b, at + 1)
         _need(size <= limit and at + 17 + stored <= len(b), "index size")
-        index = inflate(b[at + 17 : at + 17 + stored], size + 1)
+        index = inflate(b[at + 17 : at + 17 + stored], size)
         _need(len(index) == size, "index size")
     else:
         _need(flag == 0, "unknown index flag")
@@ -127,7 +129,7 @@ PARSERS = {"records": _records, "flat": _flat, "chunked": _chunked, "tree": _tre
 
 
 def _payload(b: bytes, entry: dict) -> bytes:
-    out = b"".join(b[o : o + s] if c == "raw" else inflate(b[o : o + s], n + 1) for o, n, s, c in entry["parts"])
+    out = b"".join(b[o : o + s] if c == "raw" else inflate(b[o : o + s], n) for o, n, s, c in entry["parts"])
     _need(len(out) == entry["size"], "size differs")
     if entry["sum"]:
         kind, want = entry["sum"]
@@ -260,6 +262,21 @@ def replace_members(index: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def changed_members(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Members that are new or whose bytes differ: an incremental patch."""
-    known = old.select("name", F.sha2("payload", 256).alias("__d"))
-    return new.withColumn("__d", F.sha2("payload", 256)).join(known, ["name", "__d"], "left_anti").drop("__d")
+    """Members that are new in their container or whose bytes differ there."""
+    known = old.select("container", "name", F.sha2("payload", 256).alias("__d"))
+    return new.withColumn("__d", F.sha2("payload", 256)).join(known, ["container", "name", "__d"], "left_anti").drop("__d")
+
+
+def flat_patch(changed: DataFrame, members: DataFrame) -> DataFrame:
+    """``changed`` members under their base names: adds packed_as and conflict.
+
+    conflict: another member of the container (changed or not, in ``members``)
+    has the same base name regardless of case; such a patch would shadow it and
+    packed_as is null.  An empty result means that there is nothing to pack.
+    """
+    base = F.element_at(F.split("name", "/"), -1)
+    used = members.select("container", "name", path_key(base).alias("__b")).distinct()
+    used = used.groupBy("container", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    out = changed.withColumn("__b", path_key(base)).join(used, ["container", "__b"], "left")
+    out = out.withColumn("conflict", F.coalesce(F.col("__n"), F.lit(0)) > 1)
+    return out.withColumn("packed_as", F.when(~F.col("conflict"), base)).drop("__b", "__n")

@@ -31,17 +31,22 @@ def derived(path: Column) -> Column:
 def limited(table: DataFrame, max_files: int, max_depth: int) -> DataFrame:
     """Files in breadth-first order with kept and the reason if not.
 
-    Depths are counted first, so only the depth in which the cap falls is
-    ranked; that rank is the one ordered step.
+    Depths are counted first: whole depths lie before or behind the cap.  Only in
+    the one in which it falls paths are ordered, as a top-k of at most
+    ``max_files`` rows.
     """
-    depth = F.size(F.split("path", "/")) - 1
-    t = table.withColumn("depth", depth)
+    t = table.withColumn("depth", F.size(F.split("path", "/")) - 1)
     per = t.groupBy("depth").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.join(F.broadcast(per.withColumn("__before", before).drop("__n")), "depth")  # one row per depth
-    rank = F.row_number().over(Window.partitionBy("depth").orderBy("path")) + F.col("__before")
-    why = F.when(F.col("depth") > max_depth, "depth").when(rank > max_files, "files")
-    return t.withColumn("reason", why).withColumn("kept", F.col("reason").isNull()).drop("__before")
+    per = per.withColumn("__before", before)  # one row per depth
+    split = per.where((F.col("__before") < max_files) & (F.col("__before") + F.col("__n") > max_files)).select("depth", "__before").first()
+    why = F.when(F.col("depth") > max_depth, "depth").when(F.col("__before") >= max_files, "files")
+    out = t.join(F.broadcast(per.select("depth", "__before")), "depth").withColumn("reason", why).drop("__before")
+    if split:
+        first = t.where(F.col("depth") == split[0]).orderBy("path").limit(max_files - split[1]).select("path").distinct().withColumn("__in", F.lit(True))
+        out = out.join(F.broadcast(first), "path", "left")
+        out = out.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("depth") == split[0]) & F.col("__in").isNull(), "files").otherwise(F.col("reason"))).drop("__in")
+    return out.withColumn("kept", F.col("reason").isNull())
 
 
 def evidence(table: DataFrame, magics: list[tuple[str, bytes]], extensions: list[tuple[str, str]], basenames: list[tuple[str, str]]) -> DataFrame:

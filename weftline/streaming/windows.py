@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weftline-checkpoint"
+    """A new path in the cluster's shared folder.  Only a local master, whose
+    executors share the driver's disk, may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = f"{tempfile.gettempdir()}/weftline-checkpoint"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
