@@ -306,3 +306,67 @@ def test_near_dedup_keeps_one_of_similarity_080(spark, documents, sf):
     assert got == sorted(least_similar(rows))
     one = sorted(r.doc_id for r in near_copies.keep_one(df, slice_bytes=2000).collect())
     assert one == got
+
+
+# -- the order of windows ----------------------------------------------------
+
+
+def anchored(rng, n, length, gram):
+    """Phrases around triggers: (bytes, place of the trigger, least and largest distance)."""
+    part = [bytes(rng.choice(b"ab\0") for _ in range(length)) for _ in range(3)] + [b"a" * length]
+    out = []
+    for _ in range(n):
+        text = rng.choice(part)[: rng.randint(0, length - gram)] + rng.choice([b"T" * gram, b"U" * gram]) + rng.choice(part)
+        at = rng.randint(0, length - gram)
+        low = rng.randint(0, at)
+        left = (rng.choice(part) * 2)[-at:] if at else b""
+        out.append(((left + text + b"zz" * length)[: at + length - low], at, low, at))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_window_classes_by_brute_force(seed):
+    """Triggers of several kinds in one part, as if their hashes had met."""
+    rng, length, gram = random.Random(seed), 24, 6
+    rows = anchored(rng, 60, length, gram)
+    data, at, low, high = (list(c) for c in zip(*rows, strict=True))
+    hit = suffix_dedup.window_classes(data, np.array(at), np.array(low), np.array(high), length, gram)
+    seen = {}
+    for i, (d, p, a, b) in enumerate(rows):
+        for x in range(a, b + 1):
+            seen.setdefault((d[p - x : p - x + length], x), []).append((i, x))
+    want = np.zeros_like(hit)
+    for v in seen.values():
+        for i, x in v:
+            want[i, x] = len(v) > 1
+    assert (hit == want).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_halves_hold_every_window_once_and_equal_ones_together(seed):
+    rng, length, gram = random.Random(seed), 24, 6
+    where = {}
+    for d, at, low, high in anchored(rng, 50, length, gram):
+        for shift in range(5):
+            got = []
+            for core, lo, place, a, b, part in suffix_dedup.split_entry(at, low, high, d, shift, length, length - gram):
+                assert part == d[lo : lo + len(part)] and len(part) == b - a + length and place == at - lo
+                for x in range(a, b + 1):
+                    window = part[place - x : place - x + length]
+                    assert window == d[at - x : at - x + length] and core[:-1] in window
+                    where.setdefault((shift, x, window), set()).add(core)
+                    got.append(x)
+            assert got == list(range(low, high + 1))
+    assert all(len(v) == 1 for v in where.values())
+
+
+def test_a_passage_of_many_places(spark):
+    """One passage in hundreds of texts, each with borders of its own, and copies."""
+    rng = random.Random(6)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(150))
+    own = lambda n: bytes(rng.choice(b"ijklmnop ") for _ in range(n))
+    texts = [own(rng.randint(0, 60)) + passage + own(rng.randint(0, 60)) for _ in range(300)] + [own(200)] * 3
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for hot in (512, 16):
+        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.removals(df, length=48, gram=12, hot_phrases=hot).collect()}
+        assert got == dict(enumerate(removal(texts, 48)))

@@ -5,27 +5,40 @@ else in the corpus (same text included) is removed.
 
 Parsing.  The trigger of a window of ``length`` bytes is the ``gram``-byte
 string in it with the least rolling hash (the first on ties).  It depends on
-the window's bytes alone, so equal windows have equal triggers at equal places.
-Consecutive windows with one trigger form a phrase: the bytes from the first
-window's start to the last window's end.  Phrases overlap by ``length - 1``
-bytes and every window lies in exactly one, so what follows a phrase in the
-parse never decides the order of its windows: the parse enters by the phrases'
-multiplicities, the dictionary by its suffix array.
+the window's bytes alone, so equal windows have equal triggers at equal places,
+and every window has one, whatever the text.  Consecutive windows with one
+trigger make a phrase; the trigger splits its bytes in two:
+
+* the left part, up to the trigger, is a phrase of the dictionary;
+* the right part, from the trigger on, is the parse as it goes on there, to the
+  depth that a window can reach (``length`` bytes).
+
+Order.  The window that begins a bytes before a trigger is the last a bytes of a
+left part and the first ``length - a`` of a right part.  So the dictionary's
+suffix array (left parts, sorted from their ends, with the lengths of common
+suffixes) and the parse's suffix array (right parts, sorted from the trigger on,
+with the lengths of common prefixes) combine into the order of the corpus'
+windows: the class of a window is the pair of its two classes at depth a, and a
+class of two is a repeated string (``window_classes``).  This compares bytes.
+
+Scale.
 
 * A trigger that occurs once in the corpus has no repeated window.  This drops
   most of the text before any text is moved.
 * A phrase that occurs twice in the parse is repeated as a whole.
 * What is left are distinct phrases that share a trigger, mostly borders of
-  repeated passages.  They form the dictionary, dealt out by trigger, and its
-  suffix array is built by prefix doubling up to ``length`` bytes: suffixes
-  with equal ranks are equal windows.  This is exact on bytes.
-* Triggers with more than ``hot_phrases`` distinct phrases would make one large
-  dictionary part; their windows are counted by a 128-bit hash in a distributed
-  aggregate instead.
-
-Hashes of triggers and phrases have 64 bits each; a phrase is taken as repeated
-only if both agree.  Texts travel once for the dictionary and once for the
-result, copies of a text within a task only once.
+  repeated passages.  They are dealt out by trigger and ordered as above.
+* A trigger with more than ``hot_phrases`` distinct phrases is split: its windows
+  are dealt into the lower and the upper half of their distances a, and in each
+  half by the bytes that all windows of that half share around the trigger.
+  Halves are halved again until every group is small; at a single distance the
+  shared bytes are the window itself.  Equal windows stay together at every
+  step, so the same order decides all of them and nothing is dropped.
+
+Triggers and whole phrases are matched by two independent 64-bit hashes, of the
+trigger and of the phrase; only the ordered parts are compared on bytes.  Texts
+travel once for the dictionary and once for the result, copies of a text within
+a task only twice (a second copy is what makes it repeated).
 
 Nulls: a null text is the empty text; texts shorter than ``length`` keep all.
 A null id is carried through.  Empty table: empty result.  Repeated rows make
@@ -39,15 +52,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise
-from ._text import U64, Hasher, chunks, ranges
+from ._spark import Scratch, materialise, sized_join
+from ._text import BASE, U64, Hasher, chunks, ranges
 
 POS_BITS = 24
 SEGMENT = 1 << 22
 UID = ["u1", "u2"]
+#: Base of the phrases' own rolling hash.
+CONTEXT = 0xD6E8FEB86659FD93
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -61,16 +77,16 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """(key, ctx, text, lo, size) of every phrase of a chunk.
+    """((key, at), ctx, text, lo, size) of every phrase of a chunk.
 
-    key: hash of the trigger; ctx: hash of the phrase and of the trigger's place
-    in it; lo: the phrase's start in its text; size: its bytes.
+    key: hash of the trigger; at: its place in the phrase; ctx: hash of the
+    phrase and of that place; lo: the phrase's start in its text; size: its bytes.
     """
     parts = []
     n_windows = len(buf) - length + 1
     for at in range(0, max(n_windows, 0), SEGMENT):
         part = buf[at : at + SEGMENT + length - 1]
-        h = Hasher(part)
+        h, other = Hasher(part), Hasher(part, CONTEXT)
         g = np.arange(len(part) - gram + 1)
         gh = h(g, g + gram)
         packed = (gh >> U64(POS_BITS) << U64(POS_BITS)) | g.astype(U64)
@@ -87,12 +103,13 @@ def phrases(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
         last = np.concatenate([first[1:], [len(p)]]) - 1
         lo, hi = p[first], p[last] + length
         t = own[first]
-        ctx = h(lo, hi) ^ ((t - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
-        parts.append((gh[t], ctx, doc[first], lo + at - offs[doc[first]], hi - lo))
+        ctx = other(lo, hi) ^ ((t - lo).astype(U64) * BASE)
+        parts.append((gh[t], t - lo, ctx, doc[first], lo + at - offs[doc[first]], hi - lo))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z.astype(U64), z.astype(U64), z, z, z
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        return (z.astype(U64), z), z.astype(U64), z, z, z
+    key, place, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return (key, place), *rest
 
 
 def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -121,132 +138,235 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.unique(pair, return_inverse=True)[1]
 
 
+def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): byte rows sorted, and how many first bytes each shares
+    with the one before (-1 for the first)."""
+    n, width = rows.shape
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{width}").ravel(), kind="stable")
+    differ = np.ones((n, width + 1), bool)
+    differ[1:, :width] = rows[order[1:]] != rows[order[:-1]]
+    common = differ.argmax(axis=1)
+    common[0] = -1
+    return order, common
+
+
+def window_classes(phrases: list[bytes], at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which windows of the phrases are equal to another: a boolean matrix of
+    (phrase, a) for the windows that begin ``a`` bytes before the trigger.
+
+    ``at``: the trigger's place in each phrase; windows with low <= a <= high
+    exist.  Left parts are ordered from the trigger backwards, right parts from
+    it on; a window's class is the pair of both at depth a and ``length - a``.
+    """
+    n, reach = len(phrases), length - gram
+    data = np.frombuffer(b"".join(phrases), np.uint8)
+    size = np.fromiter(map(len, phrases), np.int64, n)
+    begin = np.cumsum(size) - size
+    left, right = np.zeros((n, reach + 1), np.uint8), np.zeros((n, length), np.uint8)
+    back = np.arange(reach + 1)
+    there = back[None] < at[:, None]
+    left[there] = data[((begin + at - 1)[:, None] - back)[there]]
+    ahead = np.arange(length)
+    there = ahead[None] < (size - at)[:, None]
+    right[there] = data[((begin + at)[:, None] + ahead)[there]]
+    lo, lc = _order(left)
+    ro, rc = _order(right)
+    hit = np.zeros((n, reach + 1), bool)
+    left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    for a in range(int(low.min()), int(high.max()) + 1):
+        some = np.flatnonzero((low <= a) & (a <= high))
+        if len(some) < 2:
+            continue
+        left_class[lo] = np.cumsum(lc < a)
+        right_class[ro] = np.cumsum(rc < length - a)
+        pair = left_class[some] * (n + 1) + right_class[some]
+        order = np.argsort(pair)
+        same = pair[order[1:]] == pair[order[:-1]]
+        hit[some[order[1:][same]], a] = True
+        hit[some[order[:-1][same]], a] = True
+    return hit
+
+
 def _uid(text: str):
     t = F.coalesce(F.col(text), F.lit(""))
     return [F.xxhash64(t).alias("u1"), F.xxhash64(F.lit(7), t).alias("u2")]
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    """(u1, u2, text), every text at most once for each task."""
+def _once(copies: int):
+    """Arrow map: rows (u1, u2, ..) without all but the first ``copies`` of each
+    text in a task."""
 
-    def once(batches):
-        seen = set()
+    def run(batches):
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             keep = []
-            for i, k in enumerate(keys):
-                if k not in seen:
-                    seen.add(k)
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                n = seen.get(k, 0)
+                if n < copies:
+                    seen[k] = n + 1
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.select(*_uid(text), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(once, "u1 long, u2 long, text string")
+    return run
 
 
-def _spans(mask: np.ndarray, lo: np.ndarray, group: np.ndarray, length: int):
-    """Maximal runs of repeated windows: (group, first byte, end)."""
-    i = np.flatnonzero(mask)
-    if len(i) == 0:
-        return i, i, i
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1] + 1) | (group[i[1:]] != group[i[:-1]])
-    a = i[new]
-    b = i[np.concatenate([np.flatnonzero(new)[1:], [len(i)]]) - 1]
-    return group[a], lo[a], lo[b] + length
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(u1, u2, text), every text at most once for each task."""
+    rows = docs.select(*_uid(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(_once(1), "u1 long, u2 long, text string")
+
+
+ENTRY = "key long, ctx long, u1 long, u2 long, lo long, at int, low int, high int, open boolean, bytes binary"
+_ENTRY = pa.schema(
+    [("key", pa.int64()), ("ctx", pa.int64()), ("u1", pa.int64()), ("u2", pa.int64()), ("lo", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("open", pa.bool_()), ("bytes", pa.binary())]
+)
+
+
+def _cutter(length: int, part_bytes: int):
+    """Arrow map: (u1, u2, text, entries of the text) -> entries with their bytes."""
+
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            for u1, u2, t, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = t.as_buffer().to_pybytes()
+                for x in entries:
+                    lo, size, at = x["lo"], x["size"], x["at"]
+                    out.append((x["key"], x["ctx"], u1, u2, lo, at, at - size + length, at, x["open"], raw[lo : lo + size]))
+                    held += size
+                if held > part_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+
+    return run
+
+
+def split_entry(at: int, low: int, high: int, data: bytes, shift: int, length: int, reach: int):
+    """The windows of an entry dealt by ``a >> shift``: (core, lo, at, low, high,
+    bytes) of each range that holds any.
+
+    core: what all windows of the range have in common, wherever they lie.  lo:
+    first byte of the new entry in the old one's bytes.
+    """
+    for r in range(low >> shift, (high >> shift) + 1):
+        first, last = r << shift, min(((r + 1) << shift) - 1, reach)
+        a, b = max(low, first), min(high, last)
+        lo = at - b
+        yield data[at - first : at + length - last] + bytes([r]), lo, at - lo, a, b, data[lo : at + length - a]
+
+
+def _splitter(shift: int, length: int, reach: int):
+    """Arrow map: entries of hot triggers -> entries of the halves of their ranges."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, _, u1, u2, lo, at, low, high, is_open, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for core, off, place, a, b, part in split_entry(at, low, high, data, shift, length, reach):
+                    key = xxhash.xxh64_intdigest(core, shift) - (1 << 63)
+                    ctx = xxhash.xxh64_intdigest(part, place) - (1 << 63)
+                    rows.append((key, ctx, u1, u2, lo + off, place, a, b, is_open, part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+
+    return run
+
 
+SPAN = "u1 long, u2 long, start long, end long"
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 32, hot_phrases: int = 4_000, part_bytes: int = 1 << 20) -> DataFrame:
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 32, hot_phrases: int = 512, part_bytes: int = 1 << 20) -> DataFrame:
     """(u1, u2, start, end): byte spans whose bytes are all to be removed.
 
     Texts are named by two 64-bit hashes (see ``_uid``); spans of one text may
-    overlap or touch.
+    overlap or touch.  ``hot_phrases``: the largest group that one task orders.
     """
 
     def parse(batches):
-        for batch, buf, offs in chunks(batches):
-            key, ctx, doc, lo, size = phrases(buf, offs, length, gram)
+        for batch, buf, offs in chunks(_once(2)(batches)):
+            (key, at), ctx, doc, lo, size = phrases(buf, offs, length, gram)
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(lo), pa.array(size.astype(np.int32))],
-                ["key", "ctx", "u1", "u2", "lo", "size"],
+                [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
+                ["key", "ctx", "u1", "u2", "lo", "size", "at"],
             )
 
-    texts = docs.select(*_uid(text), F.col(text).alias("text"))
-    parsed = materialise(texts.mapInArrow(parse, "key long, ctx long, u1 long, u2 long, lo long, size int"), "pfp-parse")
+    spark, reach = docs.sparkSession, length - gram
+    scratch = Scratch(spark)
+    texts = docs.select(*_uid(text), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    parsed = scratch.put(texts.mapInArrow(parse, "key long, ctx long, u1 long, u2 long, lo long, size int, at int"), "pfp-parse")
     # stored, so that the join below shuffles both sides and a hot key can be split
-    common = materialise(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "pfp-common")
-    cand = materialise(parsed.join(common, "key", "left_semi"), "pfp-candidates")
-    dictionary = cand.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "size")).alias("r"))
-    dictionary = materialise(dictionary.select("key", "ctx", "n", "r.*"), "pfp-dictionary")
+    common = scratch.put(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "pfp-common")
+    cand = scratch.put(parsed.join(common, "key", "left_semi"), "pfp-candidates")
+    dictionary = cand.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "size", "at")).alias("r"))
+    dictionary = scratch.put(dictionary.select("key", "ctx", "n", "r.*"), "pfp-dictionary")
     whole = cand.join(dictionary.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
     whole = whole.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
 
-    shared = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    entry = dictionary.join(shared, "key").select(*UID, "key", "ctx", "lo", "size", (F.col("n") == 1).alias("open"), (F.col("k") > hot_phrases).alias("hot"))
-    entry = entry.groupBy(*UID).agg(F.collect_list(F.struct("key", "ctx", "lo", "size", "open", "hot")).alias("e"))
-
-    def cut(batches):
-        for batch in batches:
-            out = {k: [] for k in ("key", "ctx", "u1", "u2", "lo", "open", "hot", "bytes")}
-            held = 0
-            for u1, u2, t, e in zip(*(batch.column(i).to_pylist() if i != 2 else batch.column(i) for i in range(4)), strict=True):
-                raw = t.as_buffer().to_pybytes()
-                for x in e:
-                    for k in ("key", "ctx", "lo", "open", "hot"):
-                        out[k].append(x[k])
-                    out["u1"].append(u1)
-                    out["u2"].append(u2)
-                    out["bytes"].append(raw[x["lo"] : x["lo"] + x["size"]])
-                    held += x["size"]
-                if held > part_bytes:
-                    yield pa.RecordBatch.from_pydict(out, cut_schema)
-                    out, held = {k: [] for k in out}, 0
-            if out["key"]:
-                yield pa.RecordBatch.from_pydict(out, cut_schema)
-
-    cut_schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("u1", pa.int64()), ("u2", pa.int64()), ("lo", pa.int64()), ("open", pa.bool_()), ("hot", pa.bool_()), ("bytes", pa.binary())])
-    cuts = _texts(docs, text).join(entry, UID).select(*UID, "text", "e").mapInArrow(cut, "key long, ctx long, u1 long, u2 long, lo long, open boolean, hot boolean, bytes binary")
-    cuts = materialise(cuts, "pfp-cuts")
+    shared = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    entry = dictionary.join(shared, "key", "left_semi").select(*UID, F.struct("key", "ctx", "lo", "size", "at", (F.col("n") == 1).alias("open")).alias("x"))
+    entry = entry.groupBy(*UID).agg(F.collect_list("x").alias("e"))
+    cuts = _texts(docs, text).join(entry, UID).select(*UID, "text", "e").mapInArrow(_cutter(length, part_bytes), ENTRY)
+    cuts = scratch.put(cuts, "pfp-cuts")
+
+    groups, found, shift = [], [], (reach | 1).bit_length()
+    while True:
+        # texts that two tasks have cut come twice, and halves of different phrases can be equal
+        named = cuts.select("key", "ctx", *UID, "lo").distinct()
+        same = named.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        size = scratch.put(same.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "pfp-groups")
+        equal = scratch.put(same.where("n > 1").select("key", "ctx"), "pfp-equal")
+        more = sized_join(cuts.where("open"), equal, ["key", "ctx"], "left_semi", 200_000)
+        found.append(more.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end")))
+        one = cuts.dropDuplicates(["key", "ctx"])
+        one = sized_join(one, equal.withColumn("__m", F.lit(True)), ["key", "ctx"], "left", 200_000)
+        one = one.withColumn("open", F.col("open") & F.col("__m").isNull()).drop("__m")
+        several = size.where("k > 1")
+        hot = several.where(F.col("k") > hot_phrases).select("key")
+        cool = several.where(F.col("k") <= hot_phrases).select("key") if shift else several.select("key")
+        groups.append(sized_join(one, cool, "key", "left_semi", 200_000))
+        if shift == 0 or hot.limit(1).count() == 0:
+            break
+        shift -= 1
+        cuts = scratch.put(sized_join(one, hot, "key", "left_semi", 200_000).mapInArrow(_splitter(shift, length, reach), ENTRY), "pfp-halves")
 
     def search(batches):
         for rows in _whole_keys(batches, part_bytes):
-            # one row a phrase: a text that two tasks have cut comes twice
-            _, one = np.unique(np.stack([rows["key"], rows["ctx"]]), axis=1, return_index=True)
-            size = np.fromiter((len(rows["bytes"][i]) for i in one), np.int64, len(one))
-            begin = np.concatenate([[0], np.cumsum(size)])
-            data = np.frombuffer(b"".join(rows["bytes"][i] for i in one), np.uint8)
-            count = size - length + 1
-            at = ranges(begin[:-1], count)
-            group = np.repeat(np.arange(len(one)), count)
-            cls = suffix_classes(data, at, length)
-            hit = (np.bincount(cls) > 1)[cls] & rows["open"][one][group]
-            yield _found(rows, one, hit, group, at - begin[group], length)
-
-    part = cuts.where("not hot").select("key", "ctx", "u1", "u2", "lo", "open", "bytes").repartition("key").sortWithinPartitions("key")
-    span_schema = "u1 long, u2 long, start long, end long"
-    edges = part.mapInArrow(search, span_schema)
-
-    def windows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8)
-                n = len(raw) - length + 1
-                p = np.arange(n)
-                cols = [Hasher(raw, b)(p, p + length).view(np.int64) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(p + batch.column(2)[i].as_py()), pa.array(np.full(n, batch.column(3)[i].as_py()))],
-                    ["a", "b", "u1", "u2", "start", "open"],
-                )
-
-    hot = cuts.where("hot").dropDuplicates(["key", "ctx"]).select("u1", "u2", "lo", "open", "bytes").mapInArrow(windows, "a long, b long, u1 long, u2 long, start long, open boolean")
-    twice = hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    hot = hot.where("open").join(twice, ["a", "b"], "left_semi").select(*UID, "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(edges).unionByName(hot)
+            at, low, high = rows["at"].astype(np.int64), rows["low"], rows["high"]
+            hit = window_classes(rows["bytes"], at, low, high, length, gram) & rows["open"][:, None]
+            # columns by rising start: the window of distance a starts at ``at - a``
+            g, s, e = _spans(hit[:, ::-1].ravel(), np.arange(reach + 1), length)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k][g]) for k in UID] + [pa.array(x + at[g] - reach + rows["lo"][g]) for x in (s, e)], [*UID, "start", "end"])
+
+    part = groups[0]
+    for g in groups[1:]:
+        part = part.unionByName(g)
+    edges = part.repartition("key").sortWithinPartitions("key").mapInArrow(search, SPAN)
+    for x in (*found, edges):
+        whole = whole.unionByName(x)
+    spans = materialise(whole, "pfp-spans")
+    scratch.drop()
+    return spans
+
+
+def _spans(mask: np.ndarray, start: np.ndarray, length: int):
+    """Maximal runs of repeated windows: (row, first byte, end) of a flat mask of
+    rows with the same ``start`` positions."""
+    i = np.flatnonzero(mask)
+    if len(i) == 0:
+        return i, i, i
+    row, col = np.divmod(i, len(start))
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (row[1:] != row[:-1])
+    last = np.concatenate([np.flatnonzero(new)[1:], [len(i)]]) - 1
+    return row[new], start[col[new]], start[col[last]] + length
 
 
 def _whole_keys(batches, part_bytes: int):
     """Rows sorted by key, in parts of about ``part_bytes`` that end with a key."""
-    names = ["key", "ctx", "u1", "u2", "lo", "open"]
+    names = [f.name for f in _ENTRY][:-1]
     held: list[dict] = []
     size = 0
 
@@ -259,7 +379,8 @@ def _whole_keys(batches, part_bytes: int):
         if batch.num_rows == 0:
             continue
         cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-        raw = batch.column(6).to_pylist()
+        cols["open"] = cols["open"].astype(bool)
+        raw = batch.column(len(names)).to_pylist()
         edge = np.concatenate([[0], np.flatnonzero(cols["key"][1:] != cols["key"][:-1]) + 1, [batch.num_rows]])
         at = 0
         for a, b in zip(edge[:-1], edge[1:], strict=True):
@@ -276,12 +397,6 @@ def _whole_keys(batches, part_bytes: int):
         yield joined()
 
 
-def _found(rows, one, hit, group, place, length):
-    g, s, e = _spans(hit, place, group, length)
-    i = one[g]
-    return pa.RecordBatch.from_arrays([pa.array(rows["u1"][i]), pa.array(rows["u2"][i]), pa.array(s + rows["lo"][i]), pa.array(e + rows["lo"][i])], ["u1", "u2", "start", "end"])
-
-
 def merge_spans(spans: np.ndarray) -> np.ndarray:
     """Disjoint maximal runs, in order, of rows (start, end)."""
     if len(spans) == 0:
@@ -294,7 +409,7 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    by = spans.groupBy(*UID).agg(F.collect_list(F.struct("start", "end")).alias("e"))
+    by = spans.groupBy(*UID).agg(F.collect_set(F.struct("start", "end")).alias("e"))
     return _texts(docs, text).join(by, UID, "left").select(*UID, "text", "e")
 
 
