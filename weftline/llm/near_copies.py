@@ -1,4 +1,4 @@
-"""Near copies by the similarity of their shingle sets.
+"""Near copies: SimHash with blocks wide enough for a similarity of shingle sets.
 
 Shingles: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, sets of 64-bit hashes
 of ``width`` words joined by one space (a text with fewer words has its whole
@@ -6,28 +6,50 @@ sequence as one shingle, one without words the empty set).  Two texts are linked
 if their sets' Jaccard similarity is ``similarity`` (0.8) or more; equal sets are
 one node from the start.
 
-Candidates: ``bands`` keys of ``rows`` minima each.  A pair of similarity s
-misses all of them with probability (1 - s**rows)**bands, 5e-8 at 0.8 for 32
-bands of 4, less above.  Texts that share a key, directly or over others, form
-a cluster, whose members are all compared by their whole sets: nothing is linked
-on the minima alone.  Clusters of more than ``slice_bytes`` of sets are cut into
-slices, and each pair of slices is compared by a task of its own; nothing is
-dropped.  Inside a task a breadth-first search gives at most one edge per member.
+Fingerprints.  Every shingle stands for a word of random signs (the row of its
+hash in a fixed sign matrix, with a sign of its own); bit b of a text is set if
+more of its shingles have + than - there.  Two sets of cosine c differ in a bit
+with probability acos(c) / pi: 0.15 at a similarity of 0.8, 0.5 for unrelated
+texts.  A radius of 4 of 64 bits, as ``simhash`` has, is a similarity of about
+0.95; no single split of 64 bits lets pairs at 0.8 share a block and others not.
+So the fingerprint is longer, and its blocks are as many as it takes:
+
+* block width: log2 of the texts over ``bucket`` (16), so that chance meetings
+  per block stay alike at every size;
+* blocks: so many that a pair at exactly ``similarity`` shares none of them with
+  probability ``miss`` (0.001) at most; above it the probability falls steeply;
+* meeting pairs are verified by the Hamming distance of ``CHECK`` further bits
+  (at most ``RADIUS`` of 128: four deviations above the mean of a pair at 0.8,
+  and nearly five below that of unrelated ones).
+
+Texts that pass, directly or over others, form a cluster, whose members are all
+compared by their whole sets: nothing is linked on fingerprints alone.
+
+Buckets of more than ``slice_rows`` members and clusters of more than
+``slice_bytes`` of sets are cut into slices, and each pair of slices is compared
+by a task of its own; nothing is dropped.  Inside a task each member gives at
+most one edge.
 
 Nulls, ties, repeated rows, empty table: as in ``simhash``.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise, sized_join
+from ._spark import Scratch, sized_join
 from ._text import BASE, U64, Hasher, chunks, mix, ranges, words
 from .simhash import components, keep_found, members
 
+#: Entries of the sign matrix, bits of the Hamming check and its radius.
+ENTRIES, CHECK, RADIUS = 2048, 128, 36
+
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): text i has the distinct hashes[bounds[i]:bounds[i + 1]],
@@ -57,38 +79,149 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.
     return h, np.searchsorted(owner, np.arange(n + 1))
 
 
-def set_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every set, 0 for the empty one; band keys of every other set)."""
-    fp = np.zeros(len(bounds) - 1, U64)
-    full = np.flatnonzero(np.diff(bounds))
-    if len(full) == 0:
-        return fp, np.zeros((0, bands), U64)
-    starts = bounds[full]
-    fp[full] = mix(np.add.reduceat(mix(h ^ BASE), starts) + np.diff(bounds)[full].astype(U64))
-    factor = np.random.default_rng(5).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * U64(2) + U64(1)
-    keys = np.empty((len(full), bands), U64)
-    for b in range(bands):
-        acc = np.full(len(full), U64(b + 1))
-        for f in factor[b * rows : (b + 1) * rows]:
-            acc = mix(acc * BASE + np.minimum.reduceat(h * f, starts))
-        keys[:, b] = acc
-    return fp, keys
-
-
-def signatures(docs: DataFrame, width: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp, text_hash, keys): set hash, XXH64 of the text, band keys."""
+def shape(n_texts: int, similarity: float, bucket: int, miss: float) -> tuple[int, int]:
+    """(bits of a block, blocks) for so many texts."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(max(10, math.ceil(math.log2(max(n_texts, 1) / bucket))), 48)
+    return bits, math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+
+
+@lru_cache(maxsize=2)
+def signs(columns: int) -> np.ndarray:
+    """The sign matrix: a fixed random word of ``columns`` signs for each entry."""
+    return np.random.default_rng(5).integers(0, 2, (ENTRIES, columns), dtype=np.int8).astype(np.float32) * 2 - 1
+
+
+def fingerprints(h: np.ndarray, bounds: np.ndarray, bits: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set hash, check bits as two words, block keys) of every set; the empty set
+    has hash 0 and no meaning beyond that."""
+    n = len(bounds) - 1
+    size = np.diff(bounds)
+    ident = np.zeros(n, U64)
+    full = np.flatnonzero(size)
+    if len(full):
+        ident[full] = mix(np.add.reduceat(mix(h ^ BASE), bounds[full]) + size[full].astype(U64))
+    check, keys = np.zeros((n, 2), U64), np.zeros((n, blocks), U64)
+    matrix = signs(CHECK + bits * blocks)
+    own = np.repeat(np.arange(n), size)
+    entry, sign = (h % U64(ENTRIES)).astype(np.int64), np.where((h >> U64(63)).astype(bool), 1.0, -1.0)
+    for a in range(0, n, 256):
+        b = min(n, a + 256)
+        of = slice(bounds[a], bounds[b])
+        v = np.bincount((own[of] - a) * ENTRIES + entry[of], weights=sign[of], minlength=(b - a) * ENTRIES)
+        up = v.reshape(b - a, ENTRIES).astype(np.float32) @ matrix > 0
+        check[a:b] = np.packbits(up[:, :CHECK], axis=1).view(U64)
+        for k in range(blocks):
+            at = CHECK + k * bits
+            word = up[:, at : at + bits] @ (U64(1) << np.arange(bits, dtype=U64))
+            keys[a:b, k] = mix(word * BASE + U64(k))
+    return ident, check, keys
+
+
+def signatures(docs: DataFrame, width: int, bits: int, blocks: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, fp, text_hash, node, a, b, keys): set hash, XXH64 of the text, hash
+    of the check bits, the check bits, block keys."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch, buf, offs in chunks(batches):
-            h, bounds = shingle_sets(buf, offs, width)
-            fp, keys = set_keys(h, bounds, bands, rows)
-            at = np.concatenate([[0], np.cumsum((np.diff(bounds) > 0) * bands)]).astype(np.int32)
+            ident, check, keys = fingerprints(*shingle_sets(buf, offs, width), bits, blocks)
+            node = mix(check[:, 0] * BASE + check[:, 1])
+            at = np.arange(0, keys.size + 1, blocks, dtype=np.int32)
             keys = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2), keys], [doc_id, "fp", "text_hash", "keys"])
+            cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (ident, node, check[:, 0], check[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), cols[0], batch.column(2), *cols[1:], keys], [doc_id, "fp", "text_hash", "node", "a", "b", "keys"])
 
     table = docs.select(doc_id, F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    return table.mapInArrow(run, f"{doc_id} {kind}, fp long, text_hash long, keys array<long>")
+    return table.mapInArrow(run, f"{doc_id} {kind}, fp long, text_hash long, node long, a long, b long, keys array<long>")
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def bucket_edges(group: np.ndarray, words: np.ndarray, small: int = 64) -> np.ndarray:
+    """For rows sorted by ``group``: the first row of each row's component of pairs
+    within ``RADIUS`` bits of each other in one group."""
+    n = len(group)
+    root = np.arange(n)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.concatenate([start, [n]]))
+    left = np.repeat(size, size) - (np.arange(n) - np.repeat(start, size)) - 1  # rows of the group behind each
+    left[np.repeat(size > small, size)] = 0
+    src, dst = [], []
+    for d in range(1, small):
+        i = np.flatnonzero(left >= d)
+        if len(i) == 0:
+            break
+        i = i[_far(words[i], words[i + d]) <= RADIUS]
+        src.append(i)
+        dst.append(i + d)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
+    while len(u):  # least labels spread until nothing changes
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    for s, m in zip(start[size > small], size[size > small], strict=True):
+        rest = np.arange(s, s + m)
+        while len(rest) > 1:
+            first, queue, rest = rest[0], [rest[0]], rest[1:]
+            while queue and len(rest):
+                near = _far(words[rest], words[queue.pop()]) <= RADIUS
+                root[rest[near]] = first
+                queue.extend(rest[near].tolist())
+                rest = rest[~near]
+    return root
+
+
+def meetings(sig: DataFrame, slice_rows: int) -> DataFrame:
+    """(u, v): edges between nodes that share a block and pass the Hamming check."""
+    keyed = sig.where("fp <> 0").dropDuplicates(["node"]).select("node", "a", "b", F.explode("keys").alias("key"))
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows)
+    keyed = sized_join(keyed, hot, "key", "left", 200_000)
+    slices = F.ceil(F.coalesce("n", F.lit(1)) / slice_rows).cast("int")
+    keyed = keyed.withColumn("s", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), slices - 1)))
+    # row of slice s goes to the tasks (min(s, o), max(s, o)) of all slices o
+    keyed = keyed.select(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("g"), "node", "a", "b")
+    keyed = keyed.repartition("g").sortWithinPartitions("g")
+
+    def search(batches):
+        for g, node, words in _runs(batches):
+            root = bucket_edges(g, words)
+            i = np.flatnonzero(root != np.arange(len(root)))
+            if len(i):
+                pairs = np.unique(np.stack([node[i], node[root[i]]]), axis=1)
+                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
+
+    return keyed.mapInArrow(search, "u long, v long")
+
+
+def _runs(batches, least: int = 1 << 16):
+    """(g, node, check words) of ``least`` or more sorted rows that end with a g."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def joined(part):
+        g, node, a, b = (np.concatenate(c) for c in zip(*part, strict=True))
+        return g, node, np.stack([a, b], axis=1).view(U64)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if size >= least and (last or held[-1][0][-1] != cols[0][0]):
+            yield joined([*held, [c[:last] for c in cols]])
+            held, size, cols = [], 0, [c[last:] for c in cols]
+        held.append(cols)
+        size += len(cols[0])
+    if held:
+        yield joined(held)
 
 
 def star_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +254,13 @@ def star_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> t
     return np.array(src, np.int64), np.array(dst, np.int64)
 
 
-def links(docs: DataFrame, sig: DataFrame, width: int, similarity: float, slice_bytes: int, text: str) -> DataFrame:
+def links(docs: DataFrame, sig: DataFrame, scratch: Scratch, width: int, similarity: float, slice_bytes: int, slice_rows: int, text: str) -> DataFrame:
     """(u, v): edges whose components are those of all links among the sets."""
-    keyed = sig.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").drop("high")
-    near = keyed.join(least, "key").where("fp != low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
-    cluster = components(near).select(F.col("v").alias("fp"), F.col("root").alias("cluster"))
-    one = materialise(sig.join(cluster, "fp").groupBy("fp", "cluster").agg(F.min("text_hash").alias("text_hash")), "near-copies-candidates")
+    near = components(meetings(sig, slice_rows)).select(F.col("v").alias("node"), "root")
+    one = sig.groupBy("fp", "node").agg(F.min("text_hash").alias("text_hash"))
+    one = one.join(near, "node", "left").select("fp", F.coalesce("root", "node").alias("cluster"), "text_hash")
+    several = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
+    one = scratch.put(one.join(several, "cluster", "left_semi"), "near-copies-candidates")
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     texts = sized_join(texts, one, "text_hash", "inner").select("fp", "cluster", "text")
 
@@ -137,7 +270,7 @@ def links(docs: DataFrame, sig: DataFrame, width: int, similarity: float, slice_
             data = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(h)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], ["fp", "cluster", "shingles"])
 
-    found = materialise(texts.mapInArrow(sets, "fp long, cluster long, shingles binary").dropDuplicates(["fp"]), "near-copies-sets")
+    found = scratch.put(texts.mapInArrow(sets, "fp long, cluster long, shingles binary").dropDuplicates(["fp"]), "near-copies-sets")
     total = found.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / slice_bytes).cast("int").alias("n"))
     cut = found.join(total, "cluster").withColumn("s", F.pmod(F.xxhash64("fp"), "n").cast("int"))
     # row of slice s goes to the tasks (min(s, o), max(s, o)) of all slices o
@@ -169,9 +302,13 @@ def _groups(batches):
         yield node, held
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, slice_bytes: int = 1 << 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = 16, miss: float = 1e-3, slice_bytes: int = 1 << 24, slice_rows: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each component of links, by
     the rule of ``simhash.keep_one``."""
-    sig = materialise(signatures(docs, width, bands, rows, doc_id, text), "near-copies")
-    comp = components(links(docs, sig, width, similarity, slice_bytes, text))
-    return keep_found(docs, members(sig.drop("keys"), comp, doc_id), doc_id, text)
+    scratch = Scratch(docs.sparkSession)
+    bits, blocks = shape(docs.count(), similarity, bucket, miss)
+    sig = scratch.put(signatures(docs, width, bits, blocks, doc_id, text), "near-copies")
+    comp = components(links(docs, sig, scratch, width, similarity, slice_bytes, slice_rows, text))
+    kept = keep_found(docs, members(sig.select(doc_id, "fp", "text_hash"), comp, doc_id), doc_id, text)
+    scratch.drop()
+    return kept

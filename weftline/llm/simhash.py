@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise
+from ._spark import Scratch, materialise
 from ._text import U64, chunks, words
 
 BITS = 64
@@ -198,7 +198,7 @@ def _groups(batches):
         yield held_key, np.concatenate(held)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every node of ``edges`` (u, v): root is the least node of
     its component, and its own root.
 
@@ -206,22 +206,24 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     (itself included); small-star: its smaller neighbours do.  Edges only move
     towards lesser nodes, and the rounds end when neither changes an edge.
     """
-    e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "cc")
-    for _ in range(max_rounds):
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "cc")
+    while True:  # rounds are logarithmic in the longest path
         # edges point from the larger to the lesser end
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        new = materialise(small, "cc")
+        new = scratch.put(small, "cc")
         # a forest of stars: each node has one edge and no centre has one
         bad = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         if not bad and not new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
             roots = new.select(F.col("v"), F.col("v").alias("root")).distinct()
-            return new.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots)
+            out = materialise(new.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(roots), "cc-roots")
+            scratch.drop()
+            return out
         e = new
-    raise RuntimeError("components: not settled")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
