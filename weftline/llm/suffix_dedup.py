@@ -29,10 +29,10 @@ Scale.
 * What is left are distinct phrases that share a trigger, mostly borders of
   repeated passages.  They are dealt out by trigger and ordered as above.
 * A trigger with more than ``hot_phrases`` distinct phrases is split: its windows
-  are dealt into the lower and the upper half of their distances a, and in each
-  half by the bytes that all windows of that half share around the trigger.
-  Halves are halved again until every group is small; at a single distance the
-  shared bytes are the window itself.  Equal windows stay together at every
+  are dealt into ranges of their distances a, and in each range by the bytes that
+  all windows of that range share around the trigger.  Ranges are cut in four
+  again and again until every group is small; at a single distance the shared
+  bytes are the window itself.  Equal windows stay together at every
   step, so the same order decides all of them and nothing is dropped.
 
 Triggers and whole phrases are matched by two independent 64-bit hashes, of the
@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, materialise, sized_join
+from ._spark import Scratch, materialise
 from ._text import BASE, U64, Hasher, chunks, ranges
 
 POS_BITS = 24
@@ -258,7 +258,7 @@ def split_entry(at: int, low: int, high: int, data: bytes, shift: int, length: i
 
 
 def _splitter(shift: int, length: int, reach: int):
-    """Arrow map: entries of hot triggers -> entries of the halves of their ranges."""
+    """Arrow map: entries of hot triggers -> entries of smaller ranges."""
 
     def run(batches):
         for batch in batches:
@@ -274,6 +274,11 @@ def _splitter(shift: int, length: int, reach: int):
     return run
 
 
+def _joined_keys(left: DataFrame, right: DataFrame, on: list[str], how: str, n: int, max_rows: int = 200_000) -> DataFrame:
+    """Join with a stored table of ``n`` keys of fixed width, broadcast if those are few."""
+    return left.join(F.broadcast(right) if n <= max_rows else right.hint("merge"), on, how)
+
+
 SPAN = "u1 long, u2 long, start long, end long"
 
 
@@ -302,8 +307,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram:
     cand = scratch.put(parsed.join(common, "key", "left_semi"), "pfp-candidates")
     dictionary = cand.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "size", "at")).alias("r"))
     dictionary = scratch.put(dictionary.select("key", "ctx", "n", "r.*"), "pfp-dictionary")
-    whole = cand.join(dictionary.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    whole = whole.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
+    # phrases of many places go by broadcast, so that none of them fills a task
+    many = dictionary.where(F.col("n") > hot_phrases).select("key", "ctx")
+    n_many = many.count()
+    some = dictionary.where((F.col("n") > 1) & (F.col("n") <= hot_phrases)).select("key", "ctx")
+    place = cand.select(*UID, "key", "ctx", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
+    if 0 < n_many <= 200_000:
+        whole = place.join(F.broadcast(many), ["key", "ctx"], "left_semi").unionByName(place.join(F.broadcast(many), ["key", "ctx"], "left_anti").join(some, ["key", "ctx"], "left_semi"))
+    else:
+        whole = place.join(dictionary.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
+    whole = whole.select(*UID, "start", "end")
 
     shared = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     entry = dictionary.join(shared, "key", "left_semi").select(*UID, F.struct("key", "ctx", "lo", "size", "at", (F.col("n") == 1).alias("open")).alias("x"))
@@ -313,24 +326,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram:
 
     groups, found, shift = [], [], (reach | 1).bit_length()
     while True:
-        # texts that two tasks have cut come twice, and halves of different phrases can be equal
-        named = cuts.select("key", "ctx", *UID, "lo").distinct()
-        same = named.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"))
-        size = scratch.put(same.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "pfp-groups")
-        equal = scratch.put(same.where("n > 1").select("key", "ctx"), "pfp-equal")
-        more = sized_join(cuts.where("open"), equal, ["key", "ctx"], "left_semi", 200_000)
-        found.append(more.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end")))
+        # texts that two tasks have cut come twice, and parts of different phrases can be equal
+        same = cuts.select("key", "ctx", *UID, "lo").distinct().groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        size = scratch.put(same.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") > 1).alias("e")), "pfp-groups")
+        small, large, n_equal = size.agg(F.count_if((F.col("k") > 1) & (F.col("k") <= hot_phrases)), F.count_if(F.col("k") > hot_phrases), F.coalesce(F.sum("e"), F.lit(0))).first()
         one = cuts.dropDuplicates(["key", "ctx"])
-        one = sized_join(one, equal.withColumn("__m", F.lit(True)), ["key", "ctx"], "left", 200_000)
-        one = one.withColumn("open", F.col("open") & F.col("__m").isNull()).drop("__m")
-        several = size.where("k > 1")
-        hot = several.where(F.col("k") > hot_phrases).select("key")
-        cool = several.where(F.col("k") <= hot_phrases).select("key") if shift else several.select("key")
-        groups.append(sized_join(one, cool, "key", "left_semi", 200_000))
-        if shift == 0 or hot.limit(1).count() == 0:
+        if n_equal:
+            equal = scratch.put(same.where("n > 1").select("key", "ctx", F.lit(True).alias("m")), "pfp-equal")
+            more = _joined_keys(cuts.where("open"), equal.drop("m"), ["key", "ctx"], "left_semi", n_equal)
+            found.append(more.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end")))
+            one = _joined_keys(one, equal, ["key", "ctx"], "left", n_equal).withColumn("open", F.col("open") & F.col("m").isNull()).drop("m")
+        last = shift == 0 or not large
+        cool = size.where((F.col("k") > 1) & (F.lit(last) | (F.col("k") <= hot_phrases))).select("key")
+        groups.append(_joined_keys(one, cool, ["key"], "left_semi", small + large * last))
+        if last:
             break
-        shift -= 1
-        cuts = scratch.put(sized_join(one, hot, "key", "left_semi", 200_000).mapInArrow(_splitter(shift, length, reach), ENTRY), "pfp-halves")
+        shift = max(shift - 2, 0)
+        hot = size.where(F.col("k") > hot_phrases).select("key")
+        cuts = scratch.put(_joined_keys(one, hot, ["key"], "left_semi", large).mapInArrow(_splitter(shift, length, reach), ENTRY), "pfp-parts")
 
     def search(batches):
         for rows in _whole_keys(batches, part_bytes):
