@@ -96,3 +96,59 @@ def unescape(text: Column, pairs: list[tuple[str, str]]) -> Column:
     parts = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[^\\]+|\\$"), F.lit(0))
     table = F.create_map(*[F.lit(x) for k, v in pairs for x in (k, v)])
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+
+
+def escape(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The inverse of ``unescape``: every listed value becomes its escape; the
+    backslash itself must be listed."""
+    if "\\" not in dict((v, k) for k, v in pairs):
+        raise ValueError("the backslash needs an escape")
+    table = F.create_map(*[F.lit(x) for k, v in pairs for x in (v, k)])
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+def with_ruby(base: Column, reading: Column) -> Column:
+    """[base/reading]; a part that could not be read back gives null."""
+    bad = r"[/\[\]]"
+    ok = (base != "") & (reading != "") & ~base.rlike(bad) & ~reading.rlike(bad)
+    return F.when(ok, F.concat(F.lit("["), base, F.lit("/"), reading, F.lit("]")))
+
+
+def ruby_pairs(text: Column) -> Column:
+    """Array of (base, reading) in the order of the text."""
+    take = lambda k: F.regexp_extract_all(text, F.lit(RUBY), F.lit(k))
+    return F.arrays_zip(take(1).alias("base"), take(2).alias("reading"))
+
+
+#: All of Unicode's white space.
+SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
+
+
+def clean_token(token: Column) -> Column:
+    """A name out of a table's cell: quotes, an index before a colon, a tag behind
+    ``|``, ``#`` or ``@`` and brackets go; null for comments, numbers, wildcards,
+    anything with white space, and what is longer than 180 characters."""
+    t = F.btrim(F.btrim(F.btrim(token, F.lit(SPACE)), F.lit("\"'`")), F.lit(SPACE))
+    t = F.ltrim(F.replace(F.regexp_replace(t, r"^\d+:", ""), F.lit("\\"), F.lit("/")), F.lit("@"))
+    t = F.regexp_extract(t, r"(?s)^([^|#@]*)", 1)
+    t = F.btrim(F.btrim(F.btrim(t, F.lit(SPACE)), F.lit(",;:[](){}")), F.lit(SPACE))
+    bad = (t == "") | (F.char_length(t) > 180) | t.rlike(r"^[#@&*%$]|[?<>]|[\x00-\x1f]|(?U)\s") | t.rlike(r"^\d*\.?\d+$|^\d+\.$")
+    return F.nullif(F.when(~bad, F.ltrim(F.ltrim(t, F.lit("./")), F.lit("/"))), F.lit(""))
+
+
+def is_stem(name: Column) -> Column:
+    """Does the last part look like a file's stem (2 to 80 characters, a digit, ``_``
+    or ``-`` among them)?"""
+    leaf = F.element_at(F.split(name, "/"), -1)
+    return F.char_length(leaf).between(2, 80) & leaf.rlike("[0-9_-]")
+
+
+def union_first(sources: list[DataFrame], name: str) -> DataFrame:
+    """(key, name, n_sources): names of all sources, one row per name regardless of
+    case, in the spelling of the first source that has it."""
+    every = None
+    for i, s in enumerate(sources):
+        part = s.select(F.col(name)).where(F.col(name).isNotNull()).withColumn("__i", F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    g = every.groupBy(F.lower(name).alias("key")).agg(F.min(F.struct("__i", name)).alias("f"), F.count_distinct("__i").alias("n_sources"))
+    return g.select("key", F.col("f").getField(name).alias(name), "n_sources")

@@ -56,3 +56,10 @@ def disambiguate(rows: DataFrame, name: str, order: str) -> DataFrame:
 def expand_refs(entries: DataFrame, pool: DataFrame, ref: str, index: str) -> DataFrame:
     """Pooled values put back by reference; a reference without a value is bad."""
     return entries.join(pool.withColumnRenamed(index, ref), ref, "left")
+
+
+def view(entries: DataFrame, summary: list[str], details: bool) -> DataFrame:
+    """The entries as they are asked for: the columns of a summary, or all with the
+    rest as one struct column ``details``."""
+    rest = [c for c in entries.columns if c not in summary]
+    return entries.select(*summary, F.struct(*rest).alias("details")) if details and rest else entries.select(*summary)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def export_rows(rows: DataFrame, file: str, position: str, name: Column, message: Column) -> DataFrame:
@@ -57,3 +60,33 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     k = left.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).unionByName(right.groupBy(*cols).agg((-F.count(F.lit(1))).alias("__n")))
     d = k.groupBy(*cols).agg(F.sum("__n").alias("d"))
     return d.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("n_lost"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("n_new")).withColumn("equal", (F.col("n_lost") + F.col("n_new")) == 0)
+
+
+def row_shape(payload: Column) -> Column:
+    """Reason why a JSON text is no interchange row, null if it is one: an object
+    with a string message, a string name or an array of string names (not both), and
+    nothing else; characters that stand for no code point are refused."""
+
+    def one(v):
+        if v is None:
+            return "null"
+        try:
+            row = json.loads(v)
+        except ValueError:
+            return "malformed"
+        if not isinstance(row, dict):
+            return "object"
+        if row.keys() - {"name", "names", "message"}:
+            return "key"
+        if not isinstance(row.get("message"), str):
+            return "message"
+        if {"name", "names"} <= row.keys():
+            return "name"
+        names = row.get("names", [row.get("name", "")])
+        if not isinstance(names, list) or not all(isinstance(n, str) for n in names):
+            return "name"
+        if any("\ud800" <= c <= "\udfff" for s in (row["message"], *names) for c in s):
+            return "surrogate"
+        return None
+
+    return F.pandas_udf(lambda c: c.map(one), T.StringType())(payload)

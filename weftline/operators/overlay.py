@@ -56,3 +56,29 @@ def key_sets(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -
         F.count_if(F.col("r").isNull()).alias("n_left_only"),
         F.count_if(F.col("l").isNull()).alias("n_right_only"),
     ).withColumn("equal", (F.col("n_left_only") + F.col("n_right_only")) == 0)
+
+
+def effective(packed: DataFrame, loose: DataFrame, sources: DataFrame, name: str, digest: str) -> DataFrame:
+    """(name, state, digest): which compiled script runs, by rule.
+
+    ``packed`` and ``loose`` are compiled scripts (name, digest of the source that
+    they came from), ``sources`` loose sources (name, digest).  A loose script
+    overrides a packed one of its name.  Conflicts, which have no digest: a loose
+    name that differs from a packed one in case only (case), a loose script whose
+    source has another digest (stale), a packed script with a loose source but no
+    loose script (both would run).  A source without any script: source only.
+    """
+    d = lambda df, c: df.select(F.lower(name).alias("__k"), F.col(name).alias(f"__{c}n"), F.col(digest).alias(f"__{c}"))
+    j = d(packed, "p").join(d(loose, "l"), "__k", "full_outer").join(d(sources, "s"), "__k", "full_outer")
+    has = lambda c: F.col(f"__{c}n").isNotNull()
+    state = (
+        F.when(has("p") & has("l") & (F.col("__pn") != F.col("__ln")), "case")
+        .when(has("l") & has("s") & ~F.col("__l").eqNullSafe(F.col("__s")), "stale")
+        .when(has("p") & ~has("l") & has("s"), "both")
+        .when(has("p") & has("l"), "override")
+        .when(has("l"), "loose")
+        .when(has("p"), "packed")
+        .otherwise("source only")
+    )
+    out = j.select(F.coalesce("__ln", "__pn", "__sn").alias(name), state.alias("state"), F.coalesce("__l", "__p", "__s").alias(digest))
+    return out.withColumn(digest, F.when(~F.col("state").isin("case", "stale", "both"), F.col(digest)))

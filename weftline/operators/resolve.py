@@ -46,3 +46,25 @@ def in_binned_ranges(rows: DataFrame, point: str, ranges: DataFrame, low: str, h
     r = ranges.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
     p = rows.withColumn("__bin", F.floor(F.col(point) / width))
     return p.join(r, "__bin").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__bin")
+
+
+def by_hash(entries: DataFrame, names: DataFrame, key: str, name: str, hashed: Column) -> DataFrame:
+    """``entries`` with resolved and ambiguous: names whose ``hashed`` expression
+    equals the stored ``key``.  One name regardless of case resolves it (the least
+    spelling); several make it ambiguous, and all are listed."""
+    n = names.select(hashed.alias(key), F.col(name).alias("__n")).distinct()
+    g = n.groupBy(key).agg(F.sort_array(F.collect_set("__n")).alias("__v"), F.count_distinct(F.lower("__n")).alias("__k"))
+    j = entries.join(g, key, "left")
+    return j.withColumn("resolved", F.when(F.col("__k") == 1, F.get("__v", F.lit(0)))).withColumn("ambiguous", F.when(F.col("__k") > 1, F.col("__v"))).drop("__v", "__k")
+
+
+def two_hops(refs: DataFrame, externals: DataFrame, objects: DataFrame) -> DataFrame:
+    """References (file, file_id, path_id) to objects (file, path_id, name) of other
+    files: file_id 0 is the file itself, others its externals (file, file_id,
+    target).  Adds target, name and state: found, no external, no object."""
+    e = externals.select("file", "file_id", "target")
+    j = refs.join(e, ["file", "file_id"], "left").withColumn("target", F.when(F.col("file_id") == 0, F.col("file")).otherwise(F.col("target")))
+    o = objects.select(F.col("file").alias("target"), "path_id", "name", F.lit(True).alias("__o"))
+    j = j.join(o, ["target", "path_id"], "left")
+    state = F.when(F.col("target").isNull(), "no external").when(F.col("__o").isNull(), "no object").otherwise("found")
+    return j.select("file", "file_id", "path_id", "target", "name", state.alias("state"))

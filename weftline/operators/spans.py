@@ -8,16 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 
 def split_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, line, body): one row per \\n-split line, ``line`` from 0."""
     return docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line", "body")).withColumn("line", F.col("line").cast("long"))
 
 
-#: White space that ends of lines are trimmed of: all of Unicode's.
-SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
-
-
 def line_kind(body: Column) -> Column:
     """blank, comment (; or //), label (*), linetag (#), command ([) or text, by
     the first characters behind white space."""

@@ -11,6 +11,7 @@ from ..operators import binary, catalog, contract, edits, overlay, paths, resolv
 from ..sources import containers, publish, scan, structured
 from ..sources.tables import load
 from ..streaming import windows
+from . import delivery
 
 TAG = r"<[^>]*>"
 
@@ -646,3 +647,4 @@ QUERIES = {f.__name__: f for f in [
     tag_attributes, handoff, path_check, path_collisions, pointer_repair,
     rel_pricing, rel_cube, rel_rollup, rel_windows, rel_asof, rel_sets, rel_top_customers, rel_sessions, rel_hourly,
 ]}
+QUERIES |= delivery.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import delivery
+
 _LINES = """lines AS (
   SELECT doc_id, CAST(unnest(range(0, len(l))) AS BIGINT) AS line, unnest(l) AS body
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
@@ -249,3 +251,4 @@ ORACLES = {
       SELECT user_id, session, count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY 1, 2""",
     "rel_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2",
 }
+ORACLES |= delivery.ORACLES

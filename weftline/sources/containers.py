@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import inflate
+from ..functions.codecs import inflate, xor_position
 from ..functions.text import path_key
+from ..operators.rewrite import per_document
 
 #: Fixed values of the chunked format: the magic, and the tags File, info, segm
 #: and adlr of its index with their field order.
 CHUNKED_MAGIC = b"XP3\r\n \n\x1a\x8bg\x01"
+#: An index offset that names a pointer block, and where that holds the offset.
+POINTER_BLOCK, POINTER_AT = 0x17, 0x20
 INDEX = "container string, ordinal long, name string, offset long, size long, stored_size long, codec string, checksum long, status string, reason string"
 
 
@@ -75,10 +78,7 @@ def _subchunks(b: bytes):
         at += 12 + n
 
 
-def _chunked(b: bytes, limit: int = 1 << 28):
-    _need(b.startswith(CHUNKED_MAGIC) and len(b) >= 19, "no magic")
-    (at,) = struct.unpack_from("<Q", b, 11)
-    _need(at + 9 <= len(b), "index beyond the end")
+def _chunk_index(b: bytes, at: int, limit: int) -> bytes:
     flag = b[at]
     if flag == 1:
         stored, size = struct.unpack_from("<QQ", b, at + 1)
@@ -90,6 +90,17 @@ def _chunked(b: bytes, limit: int = 1 << 28):
         (size,) = struct.unpack_from("<Q", b, at + 1)
         _need(at + 9 + size <= len(b), "index beyond the end")
         index = b[at + 9 : at + 9 + size]
+    return index
+
+
+def _chunked(b: bytes, limit: int = 1 << 28):
+    _need(b.startswith(CHUNKED_MAGIC) and len(b) >= 19, "no magic")
+    (at,) = struct.unpack_from("<Q", b, 11)
+    if at == POINTER_BLOCK and len(b) >= POINTER_AT + 8:  # the offset may stand in a block of its own
+        (there,) = struct.unpack_from("<Q", b, POINTER_AT)
+        at = there if 19 <= there < len(b) else at
+    _need(19 <= at and at + 9 <= len(b), "index beyond the end")
+    index = _chunk_index(b, at, limit)
     for tag, body in _subchunks(index):
         _need(tag == b"File", "unknown index chunk")
         part = dict(_subchunks(body))
@@ -128,8 +139,8 @@ def _tree(b: bytes):
 PARSERS = {"records": _records, "flat": _flat, "chunked": _chunked, "tree": _tree}
 
 
-def _payload(b: bytes, entry: dict) -> bytes:
-    out = b"".join(b[o : o + s] if c == "raw" else inflate(b[o : o + s], n) for o, n, s, c in entry["parts"])
+def _payload(b: bytes, entry: dict, undo=bytes) -> bytes:
+    out = undo(b"".join(b[o : o + s] if c == "raw" else inflate(b[o : o + s], n) for o, n, s, c in entry["parts"]))
     _need(len(out) == entry["size"], "size differs")
     if entry["sum"]:
         kind, want = entry["sum"]
@@ -261,6 +272,89 @@ def replace_members(index: DataFrame, changes: DataFrame) -> DataFrame:
     return j.select("container", "ordinal", "name", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("payload")).alias("payload"))
 
 
+def _patch_flat(b: bytes, new: dict[str, bytes]) -> bytes:
+    out, at = bytearray(b), 8
+    for _ in range(struct.unpack_from("<I", b, 4)[0]):
+        (n,) = struct.unpack_from("<H", b, at)
+        name = b[at + 2 : at + 2 + n].decode()
+        if name in new:
+            struct.pack_into("<III", out, at + 2 + n, len(out), len(new[name]), zlib.crc32(new[name]))
+            out += new[name]
+        at += 14 + n
+    return bytes(out)
+
+
+def _patch_chunked(b: bytes, new: dict[str, bytes]) -> bytes:
+    (at,) = struct.unpack_from("<Q", b, 11)
+    if at == POINTER_BLOCK and 19 <= struct.unpack_from("<Q", b, POINTER_AT)[0] < len(b):
+        field, (at,) = POINTER_AT, struct.unpack_from("<Q", b, POINTER_AT)
+    else:
+        field = 11
+    chunk = lambda t, d: t + struct.pack("<Q", len(d)) + d
+    out, index = bytearray(b), []
+    for tag, body in _subchunks(_chunk_index(b, at, 1 << 28)):
+        parts = list(_subchunks(body))
+        info = dict(parts)[b"info"]
+        name = info[22 : 22 + 2 * struct.unpack_from("<H", info, 20)[0]].decode("utf-16-le")
+        if name in new:
+            d = new[name]
+            own = {b"info": info[:4] + struct.pack("<QQ", len(d), len(d)) + info[20:], b"segm": struct.pack("<IQQQ", 0, len(out), len(d), len(d)), b"adlr": struct.pack("<I", zlib.adler32(d))}
+            out += d
+            parts = [(t, own.get(t, x)) for t, x in parts]
+        index.append(chunk(tag, b"".join(chunk(t, x) for t, x in parts)))
+    struct.pack_into("<Q", out, field, len(out))
+    raw = b"".join(index)
+    return bytes(out) + b"\0" + struct.pack("<Q", len(raw)) + raw
+
+
+PATCHERS = {"flat": _patch_flat, "chunked": _patch_chunked}
+
+
+def patch(table: DataFrame, changes: DataFrame, fmt: str) -> DataFrame:
+    """(container, content, status, reason): containers with the payloads of
+    ``changes`` (container, name, payload) put in place.
+
+    New payloads go behind the old bytes and the index is led to them: what the
+    parser does not know (gaps, further index parts, old payloads) stays byte for
+    byte.  A change that names no member blocks its container.
+    """
+    parser, patcher = PARSERS[fmt], PATCHERS[fmt]
+
+    def fn(data, every):
+        new = {c["name"]: bytes(c["payload"]) for c in every}
+        _need(new.keys() <= {e["name"] for e in parser(data)}, "no such member")
+        return patcher(data, new)
+
+    return per_document(table.select(F.col("container").cast("string"), "content"), changes, "container", "content", ["name", "payload"], fn)
+
+
+#: Profiles of the chunked format in the order in which they are tried.
+PROFILES = {"plain": lambda b: b, "xor-low-byte": lambda b: xor_position(b, 0)}
+
+
+def detect_profile(table: DataFrame) -> DataFrame:
+    """(container, profile): the first profile under which a chunked container's
+    every member passes its checksum; null if none does."""
+
+    def one(data):
+        for name, undo in PROFILES.items():
+            try:
+                entries = list(_chunked(data))
+                for e in entries:
+                    _payload(data, e, undo)
+                return name
+            except (ValueError, KeyError, struct.error, zlib.error):
+                continue
+        return None
+
+    def run(batches):
+        for batch in batches:
+            found = [None if v is None else one(v) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["container", "profile"])
+
+    return table.select(F.col("container").cast("string"), "content").mapInArrow(run, "container string, profile string")
+
+
 def changed_members(new: DataFrame, old: DataFrame) -> DataFrame:
     """Members that are new in their container or whose bytes differ there."""
     known = old.select("container", "name", F.sha2("payload", 256).alias("__d"))

@@ -61,3 +61,12 @@ def landing(spark: SparkSession, path: str) -> DataFrame:
     """(container, content) of files as they arrive in a folder."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).load(path).select(F.col("path").alias("container"), "content")
+
+
+def progress(stream: DataFrame) -> DataFrame:
+    """(batch, n_rows) of each micro-batch of a run over all that is available now,
+    from the query's own progress reports (a bounded list, newest last)."""
+    spark = stream.sparkSession
+    q = stream.writeStream.format("noop").option("checkpointLocation", shared(spark, "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.createDataFrame([(int(p["batchId"]), int(p["numInputRows"])) for p in q.recentProgress], "batch long, n_rows long")
