@@ -189,3 +189,33 @@ def test_toxicity_awkward(spark, awkward, detector):
         assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
     untrained = toxicity.fit([(b"only one class", 0)], 0.2)
     assert toxicity.score(awkward, untrained).select("score").distinct().collect()[0][0] == 0.2
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Bad documents hold prose and junk lines; no line is ever labelled."""
+    import random
+
+    rng = random.Random(2)
+    prose = lambda: " ".join(rng.choice("when the wind came over hills we saw that many of them had gone".split()) for _ in range(rng.randint(6, 14))).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["BUY", "NOW", "$$$", "###", "cl1ck"]) + rng.choice(["!!!", "***", ""]) for _ in range(rng.randint(6, 14)))
+    docs, labels = [], []
+    for k in range(240):
+        bad = k % 2 == 0
+        lines = [junk() if bad and rng.random() < 0.5 else prose() for _ in range(rng.randint(3, 8))]
+        if bad and not any("BUY" in x or "$" in x or "#" in x for x in lines):
+            lines.append(junk())
+        docs.append((k, "\n".join(lines)))
+        labels.append((k, int(not bad)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = line_crf.train(d, y, "quality", F.col("doc_id") < 160)
+    text = {k: t.split("\n") for k, t in docs}
+    right = total = mixed = 0
+    seen = {}
+    for r in line_crf.line_labels(d.where("doc_id >= 160"), model).collect():
+        right += r.good == text[r.doc_id][r.line].endswith(".")
+        total += 1
+        seen.setdefault(r.doc_id, set()).add(r.good)
+    mixed = sum(len(v) == 2 for v in seen.values())
+    assert right / total > 0.95 and mixed > 20
+    got = line_crf.score(d, model).join(y, "doc_id").where("doc_id >= 160")
+    assert got.where("(score >= 0.5) <> (quality = 1)").count() <= 4

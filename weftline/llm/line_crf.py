@@ -2,8 +2,10 @@
 
 Every line with a word is a node with a state, bad or good; its emission reads
 features of the line itself and of the lines before and after, transitions tie
-neighbouring states.  Training maximises the likelihood of chains whose lines
-all carry their document's label.  For a document, forward-backward gives each
+neighbouring states.  Only documents are labelled, so the states of lines are
+latent: training maximises the likelihood that all lines of a good document are
+good and at least one of a bad one is not (see ``fit``), and a document can hold
+lines of both kinds.  For a document, forward-backward gives each
 line's marginal of being good; the marginals' mean, weighted by line length, is
 mapped to a score by a logistic calibration learnt on the same sample.
 
@@ -185,9 +187,26 @@ def constant(prior: float) -> LineCrf:
     return LineCrf(np.zeros(n), np.ones(n), np.zeros(n), 0.0, np.zeros((2, 2)), 0.0, (0.0, float(_logit(prior))), prior)
 
 
-def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], prior: float, steps: int = 200, l2: float = 1e-3, rate: float = 0.1) -> LineCrf:
+def all_good(e: np.ndarray, bwd: np.ndarray, fwd: np.ndarray, ld: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+    """Log-probability that every line of a chain is good: the first line's
+    marginal times the chances to stay good."""
+    step = -np.logaddexp(0, -(fwd + bwd))
+    follows = np.flatnonzero(ld[1:] == ld[:-1]) + 1
+    step[follows] = -np.logaddexp(0, -(e[follows] + bwd[follows] + t[1, 1] - t[1, 0]))
+    return np.bincount(ld, weights=step, minlength=n)
+
+
+def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], prior: float, steps: int = 400, latent: int = 300, l2: float = 1e-3, rate: float = 0.1) -> LineCrf:
     """Fit on ``chains`` of (own features, line lengths, label) by full-batch
-    Adam on the conditional log-likelihood, classes weighted alike."""
+    Adam, classes weighted alike.
+
+    Only documents are labelled, so the states of lines are latent.  The first
+    steps take every line for its document's label; the last ``latent`` ones
+    maximise the likelihood of what a label says: all lines of a good document are
+    good, at least one of a bad one is not.  With q the probability that all are
+    good, the gradient of log(1 - q) is -q / (1 - q) times that of log(q), and both
+    come from one forward-backward pass.
+    """
     chains = [c for c in chains if len(c[0])]
     y_doc = np.array([c[2] for c in chains])
     if len(chains) == 0 or y_doc.min() == y_doc.max():
@@ -202,7 +221,7 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], prior: float, steps: i
     y = np.repeat(y_doc, size).astype(float)
     # each chain counts alike within its class, both classes together alike
     cw = np.where(y_doc == 1, 0.5 / max((y_doc == 1).sum(), 1), 0.5 / max((y_doc == 0).sum(), 1)) / size
-    lw = np.repeat(cw, size)
+    full = np.repeat(cw, size)
     pair = np.flatnonzero(ld[1:] == ld[:-1])
     theta = np.zeros(x.shape[1] + 1 + 4 + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -212,7 +231,12 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], prior: float, steps: i
         e = x @ w + bias
         fwd, bwd = forward_backward(e, ld, t, s0)
         p = _sigmoid(fwd + bwd)
-        g_e = (y - p) * lw
+        aim, lw = y, full
+        if step > steps - latent:
+            q = np.minimum(all_good(e, bwd, fwd, ld, t, len(chains)), -1e-3)
+            pull = np.where(y_doc == 1, 1.0, -np.exp(q) / -np.expm1(q))
+            aim, lw = np.ones_like(y), full * pull[ld]
+        g_e = (aim - p) * lw
         g = np.zeros_like(theta)
         g[:d] = x.T @ g_e - l2 * w
         g[d] = g_e.sum()
@@ -222,7 +246,7 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray, int]], prior: float, steps: i
             s = np.stack([np.zeros(len(pair)) + t[0, 0], r + t[0, 1], fwd[pair] + t[1, 0], fwd[pair] + r + t[1, 1]])
             s = np.exp(s - s.max(0))
             s /= s.sum(0)
-            yy = (2 * y[pair] + y[pair + 1]).astype(int)
+            yy = (2 * aim[pair] + aim[pair + 1]).astype(int)
             seen = np.bincount(yy, weights=lw[pair], minlength=4)
             g[d + 1 : d + 5] = seen - (s * lw[pair]).sum(1) - l2 * theta[d + 1 : d + 5]
         first = np.concatenate([[True], ld[1:] != ld[:-1]])
