@@ -13,8 +13,10 @@ and one odd window weighs less in a long text.
 
 Training (numpy, full back-propagation through time) takes documents as bags of
 windows: each round scores all windows of the sample and learns from each
-document's largest and one drawn at random.  The word embeddings start from the
-words' smoothed log-odds between the classes.  The sample is at most
+document's largest and one drawn at random (the largest is looked up anew every
+few rounds).  One entry of each word's and trigram's vector is fixed: its smoothed
+log-odds between the classes; in training those that the other half of the sample
+gives, so that a word of a few documents does not give their labels away.  The sample is at most
 ``per_class`` documents of each label (least hash of the id first) of at most
 ``max_bytes`` bytes; both bounds are parameters.  Scoring is a per-document
 Arrow map over whole texts with a model of fixed size.
@@ -254,29 +256,66 @@ class BiGru:
         return 1 / (1 + np.exp(-np.clip(self.features(buf, offs) @ self.scale, -30, 30)))
 
 
-def start_model(texts: list[bytes], y: np.ndarray, hidden: int, window: int, stride: int, dim: int = 6, vocab: int = 8192, least: int = 3) -> BiGru:
-    """Untrained model whose vocabulary are the words found in ``least`` or more
-    sample documents, the most telling ``vocab`` of them."""
-    df: dict[int, list[int]] = {}
+def holders(texts: list[bytes], y: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Documents of each label that hold a word, by the word's hash, and those that
+    hold a trigram bucket."""
+    df: dict[int, np.ndarray] = {}
+    grams = np.zeros((N_GRAMS, 2))
     for t, label in zip(texts, y, strict=True):
         b = np.frombuffer(t, np.uint8)
-        for h in np.unique(letter_words(b, np.array([0, len(b)]))[0]).tolist():
-            df.setdefault(h, [0, 0])[label] += 1
-    n0, n1 = max((y == 0).sum(), 1), max((y == 1).sum(), 1)
-    odds = {h: np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1)) for h, c in df.items() if h and sum(c) >= least}
-    best = sorted(odds, key=lambda h: (-abs(odds[h]) * np.sqrt(sum(df[h])), h))[:vocab]
+        h, ws, we, _ = letter_words(b, np.array([0, len(b)]))
+        h, first = np.unique(h, return_index=True)
+        for k in h.tolist():
+            df.setdefault(k, np.zeros(2))[label] += 1
+        grams[np.unique(trigram_ids(b, ws[first], we[first])[0]), label] += 1
+    return df, grams
+
+
+def log_odds(c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of words held by ``c`` of ``n`` documents of each label; a
+    word of few documents says little, however one-sided."""
+    raw = np.log((c[..., 1] + 0.5) / (n[1] + 1)) - np.log((c[..., 0] + 0.5) / (n[0] + 1))
+    return np.clip(raw * c.sum(-1) / (c.sum(-1) + 4), -4, 4)
+
+
+def halved_model(texts: list[bytes], y: np.ndarray, hidden: int, window: int, stride: int, dim: int = 6, vocab: int = 8192, least: int = 3):
+    """Untrained model whose vocabulary are the words found in ``least`` or more
+    sample documents, the most telling ``vocab`` of them; and, for each half of the
+    sample (every other document of a label), the log-odds of words and trigrams by
+    that half; and the half of each document."""
+    place = np.zeros(len(y), int)
+    for k in (0, 1):
+        place[y == k] = np.arange((y == k).sum()) % 2
+    (one, some), (two, more) = (holders([t for t, p in zip(texts, place, strict=True) if p == k], y[place == k]) for k in (0, 1))
+    parts, none = (one, two), np.zeros(2)
+    df = {h: parts[0].get(h, none) + parts[1].get(h, none) for h in parts[0].keys() | parts[1].keys()}
+    n = np.array([np.bincount(y[place == k], minlength=2) for k in (0, 1)])
+    known = [h for h in df if h and df[h].sum() >= least]
+    odds = dict(zip(known, log_odds(np.array([df[h] for h in known]).reshape(-1, 2), np.maximum(n.sum(0), 1)), strict=True))
+    best = sorted(odds, key=lambda h: (-abs(odds[h]) * np.sqrt(df[h].sum()), h))[:vocab]
     keys = np.array(sorted(best), U64)
+    by_half = np.zeros((2, len(keys) + 1))
+    for k in (0, 1):
+        by_half[k, 1:] = log_odds(np.array([parts[k].get(int(h), none) for h in keys]).reshape(-1, 2), np.maximum(n[k], 1))
+    grams = [log_odds(c, np.maximum(m, 1)) for c, m in ((some, n[0]), (more, n[1]), (some + more, n.sum(0)))]
     rng = np.random.default_rng(7)
     small = lambda *s: rng.normal(0, 0.1, s).astype(F32)
     wide = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[0])).astype(F32)
     word = small(len(keys) + 1, dim)
-    word[1:, 0] = np.clip([odds[int(h)] for h in keys], -3, 3) if len(keys) else 0
     word[0] = 0
+    word[:, 0] = [0, *(odds[int(h)] for h in keys)]
     d = 2 * dim
-    p = {"word": word, "char": small(N_GRAMS, dim), "a": wide(2 * hidden, hidden), "v": wide(hidden), "o": wide(2 * hidden), "ob": np.array(0, F32)}
+    char = small(N_GRAMS, dim)
+    char[:, 0] = grams[2]
+    p = {"word": word, "char": char, "a": wide(2 * hidden, hidden), "v": wide(hidden), "o": wide(2 * hidden), "ob": np.array(0, F32)}
     for s in "fb":
         p |= {"w" + s: wide(d, 3 * hidden), "u" + s: wide(hidden, 3 * hidden), "c" + s: np.zeros(3 * hidden, F32)}
-    return BiGru(keys, p, hidden, window, stride)
+    return BiGru(keys, p, hidden, window, stride), (by_half, grams), place
+
+
+def start_model(texts: list[bytes], y: np.ndarray, hidden: int, window: int, stride: int, **options) -> BiGru:
+    """The untrained model alone."""
+    return halved_model(texts, y, hidden, window, stride, **options)[0]
 
 
 def buffers(texts: list[bytes], size: int = 1 << 20):
@@ -293,7 +332,8 @@ def buffers(texts: list[bytes], size: int = 1 << 20):
 
 def sample_inputs(model: BiGru, texts: list[bytes]):
     """``inputs`` of all texts, group by group, so that memory is bounded."""
-    parts, words, grams, docs = [], 0, 0, 0
+    z = np.zeros(0, np.int64)
+    parts, words, grams, docs = [(z, z, z, z, z)], 0, 0, 0
     for buf, offs in buffers(texts):
         e, ids, starts, inverse, wd = model.inputs(buf, offs)
         parts.append((e.astype(np.int32), ids.astype(np.int32), starts + grams, (inverse + words).astype(np.int32), wd + docs))
@@ -301,23 +341,23 @@ def sample_inputs(model: BiGru, texts: list[bytes]):
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80, least_prior: float = 0.25, least_held: int = 25, seed: int = 11) -> BiGru:
+def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window: int = 32, stride: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.02, blank: float = 0.4, l2: float = 3e-4, least_steps: int = 80, refresh: int = 3, tables: float = 0.1, seed: int = 11) -> BiGru:
     """Train on (UTF-8 text, label) pairs; every fourth of a class calibrates.
 
-    ``least_prior``: the calibration takes label 1 for no rarer than this, since
-    a missed passage costs more than a second look.  A sample with fewer than
-    4 * ``least_held`` documents of a class is too small to be divided; it
-    calibrates on itself.
+    Each document's largest window is looked up anew every ``refresh`` epochs;
+    the tables of words and trigrams learn at ``tables`` of the rate.
     """
     rank = {0: 0, 1: 0}
     held, rest = [], []
     for t, v in sample:
         rank[v] += 1
         (held if rank[v] % 4 == 0 else rest).append((t, v))
-    few = min(rank.values()) < 4 * least_held
-    sample, held = (sample, sample) if few else (rest, held)
+    sample = rest
     y = np.array([v for _, v in sample], int)
-    model = start_model([t for t, _ in sample], y, hidden, window, stride)
+    model, (by_half, by_grams), place = halved_model([t for t, _ in sample], y, hidden, window, stride)
+    # a document's words carry the log-odds that the other half gives them
+    order = np.argsort(place, kind="stable")
+    sample, y, place = [sample[i] for i in order], y[order], place[order]
     if len(y) == 0 or y.min() == y.max():
         model.trained, model.prior = False, prior
         return model
@@ -325,20 +365,29 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
     p = model.p
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(q) for k, q in p.items()}
-    e, ids, starts, inverse, wd = sample_inputs(model, [t for t, _ in sample])
+    sides = [sample_inputs(model, [t for (t, _), k in zip(sample, place, strict=True) if k == side]) for side in (0, 1)]
+    own_odds = np.concatenate([by_half[1 - k][x[0]] for k, x in enumerate(sides)]).astype(F32)
+    mean_of = lambda odds, ids, starts: np.add.reduceat(odds[ids], starts) / np.diff(np.concatenate([starts, [len(ids)]])) if len(starts) else np.zeros(0)
+    own_grams = np.concatenate([mean_of(by_grams[1 - k], x[1], x[2]) for k, x in enumerate(sides)]).astype(F32)
+    one, two = sides
+    e, ids, starts = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), np.concatenate([one[2], two[2] + len(one[1])])
+    inverse, wd = np.concatenate([one[3], two[3] + len(one[0])]), np.concatenate([one[4], two[4] + (place == 0).sum()])
     first, length, doc = model.windows(wd, len(y))
     size = np.diff(np.concatenate([starts, [len(ids)]]))
     word = np.concatenate([inverse, [len(e)]])
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     cw = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()).astype(F32)
+    slow = {"word": tables, "char": tables}
     step, n_mean, mean = 0, 0, {k: np.zeros_like(q) for k, q in p.items()}
     epochs = max(epochs, least_steps * batch // len(y))
     for epoch in range(epochs):
-        x = model.vectors(e, ids, starts)
-        every = np.empty(len(first))
-        for a in range(0, len(first), 4096):
-            every[a : a + 4096] = model.forward(x, model.cells(word, first[a : a + 4096], length[a : a + 4096]), length[a : a + 4096])
-        top = np.array([begin[i] + every[begin[i] : begin[i + 1]].argmax() for i in range(len(y))])
+        if epoch % refresh == 0:
+            x = model.vectors(e, ids, starts)
+            x[:-1, 0], x[:-1, p["word"].shape[1]] = own_odds, own_grams
+            every = np.empty(len(first))
+            for a in range(0, len(first), 4096):
+                every[a : a + 4096] = model.forward(x, model.cells(word, first[a : a + 4096], length[a : a + 4096]), length[a : a + 4096])
+            top = np.array([begin[i] + every[begin[i] : begin[i + 1]].argmax() for i in range(len(y))])
         other = begin[:-1] + (rng.random(len(y)) * np.diff(begin)).astype(int)
         order = rng.permutation(len(y))
         for a in range(0, len(order), batch):
@@ -354,6 +403,8 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
             seen = np.where(hidden_words[e[real]], 0, e[real])
             span = ranges(starts[real], size[real])
             x = model.vectors(seen, ids[span], np.concatenate([[0], np.cumsum(size[real])])[:-1])
+            x[: len(real), 0] = np.where(hidden_words[e[real]], 0, own_odds[real])
+            x[: len(real), p["word"].shape[1]] = own_grams[real]
             local = local.reshape(cells.shape)
             logit, kept = model.forward(x, local, length[pick], keep=True)
             g, gx = model.backward(x, local, length[pick], kept, ((sigmoid(logit) - target) * weight / len(pick)).astype(F32))
@@ -366,15 +417,17 @@ def fit(sample: list[tuple[bytes, int]], prior: float, hidden: int = 8, window:
             lr = rate * min(1.0, step / 20) * (1 - 0.8 * epoch / epochs)
             for k in p:
                 q = g[k] + F32(l2) * p[k]
+                if k in ("word", "char"):  # the log-odds stay
+                    q[:, 0] = 0
                 m[k] = 0.9 * m[k] + 0.1 * q
                 v[k] = 0.99 * v[k] + 0.01 * q * q
-                p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(F32)
+                p[k] = (p[k] - lr * slow.get(k, 1.0) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(F32)
             if epoch >= epochs // 2:  # the mean of the later steps is steadier than the last
                 n_mean += 1
                 for k in p:
                     mean[k] += (p[k] - mean[k]) / n_mean
     model.p = {k: np.asarray(q, F32) for k, q in mean.items()}
-    calibrate(model, held, max(prior, least_prior))
+    calibrate(model, held, prior)
     return model
 
 
