@@ -141,8 +141,8 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bucket_edges(group: np.ndarray, words: np.ndarray, small: int = 64) -> np.ndarray:
-    """For rows sorted by ``group``: the first row of each row's component of pairs
-    within ``RADIUS`` bits of each other in one group."""
+    """For rows sorted by ``group``: the first row of each row's component (and so
+    the least, if they are sorted) of pairs within ``RADIUS`` bits of each other in one group."""
     n = len(group)
     root = np.arange(n)
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -188,7 +188,8 @@ def meetings(sig: DataFrame, slice_rows: int) -> DataFrame:
     keyed = keyed.withColumn("s", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), slices - 1)))
     # row of slice s goes to the tasks (min(s, o), max(s, o)) of all slices o
     keyed = keyed.select(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("g"), "node", "a", "b")
-    keyed = keyed.repartition("g").sortWithinPartitions("g")
+    # by node, so that the least of a component stands for it in every bucket
+    keyed = keyed.repartition("g").sortWithinPartitions("g", "node")
 
     def search(batches):
         for g, node, words in _runs(batches):
