@@ -53,7 +53,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, materialise
@@ -307,16 +307,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, gram:
     cand = scratch.put(parsed.join(common, "key", "left_semi"), "pfp-candidates")
     dictionary = cand.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "size", "at")).alias("r"))
     dictionary = scratch.put(dictionary.select("key", "ctx", "n", "r.*"), "pfp-dictionary")
-    # phrases of many places go by broadcast, so that none of them fills a task
-    many = dictionary.where(F.col("n") > hot_phrases).select("key", "ctx")
-    n_many = many.count()
-    some = dictionary.where((F.col("n") > 1) & (F.col("n") <= hot_phrases)).select("key", "ctx")
-    place = cand.select(*UID, "key", "ctx", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
-    if 0 < n_many <= 200_000:
-        whole = place.join(F.broadcast(many), ["key", "ctx"], "left_semi").unionByName(place.join(F.broadcast(many), ["key", "ctx"], "left_anti").join(some, ["key", "ctx"], "left_semi"))
-    else:
-        whole = place.join(dictionary.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    whole = whole.select(*UID, "start", "end")
+    # phrases of many places are known by broadcast and spread over ranges of their
+    # own; the others' places are counted where they meet
+    many = dictionary.where(F.col("n") > hot_phrases).select("key", "ctx", F.ceil(F.col("n") / hot_phrases).alias("m"))
+    place = _joined_keys(cand, many, ["key", "ctx"], "left", many.count())
+    spread = F.pmod(F.xxhash64(*UID, "lo"), F.coalesce("m", F.lit(1)))
+    n = F.count(F.lit(1)).over(Window.partitionBy("key", "ctx", "__s"))
+    whole = place.withColumn("__s", spread).withColumn("__n", n).where((F.col("__n") > 1) | F.col("m").isNotNull())
+    whole = whole.select(*UID, F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
 
     shared = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     entry = dictionary.join(shared, "key", "left_semi").select(*UID, F.struct("key", "ctx", "lo", "size", "at", (F.col("n") == 1).alias("open")).alias("x"))
