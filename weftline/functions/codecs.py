@@ -38,6 +38,20 @@ def unlzma(data: bytes, limit: int) -> bytes:
     return out
 
 
+def unlzma_props(data: bytes, limit: int) -> bytes:
+    """A raw LZMA stream behind its five bytes of properties, without a size."""
+    if len(data) < 5 or data[0] >= 225:
+        raise ValueError("no properties")
+    lc, rest = data[0] % 9, data[0] // 9
+    spec = {"id": lzma.FILTER_LZMA1, "lc": lc, "lp": rest % 5, "pb": rest // 5, "dict_size": int.from_bytes(data[1:5], "little")}
+    if spec["dict_size"] > 1 << 28:
+        raise ValueError("dictionary beyond the limit")
+    out = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[spec]).decompress(data[5:], limit + 1)
+    if len(out) > limit:
+        raise ValueError("beyond the limit")
+    return out
+
+
 def unlz4(data: bytes, limit: int) -> bytes:
     """LZ4 block format: tokens of literal and match lengths."""
     out, i, n = bytearray(), 0, len(data)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import charset, codecs
 from ..functions import text as tx
-from ..operators import catalog, contract, overlay, resolve, rewrite, verify
+from ..operators import catalog, contract, edits, overlay, resolve, rewrite, verify
 from ..sources import containers, structured
 from ..sources import tables_in_files as inside
 from ..sources.tables import load
@@ -150,6 +150,36 @@ def container_patch(s, d):
     return containers.scan(out, "flat", payload=True).select("container", "name", F.sha2("payload", 256).alias("sha256"), "status")
 
 
+@query("SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, 'success' AS status FROM documents")
+def container_bundle(s, d):
+    out = containers.scan(containers.build(_members(s, d), "bundle"), "bundle", payload=True)
+    return out.select("container", "name", "size", F.sha2("payload", 256).alias("sha256"), "status")
+
+
+@query("SELECT DISTINCT source AS container, 'plain' AS profile FROM documents")
+def profile_dispatch(s, d):
+    return containers.detect_profile(containers.build(_members(s, d), "chunked"))
+
+
+_ADDRESS = r"""replace(html, '<a href="/', '<a href="/zh/')"""
+
+
+@query(f"SELECT page_id, md5({_ADDRESS}) AS digest FROM pages")
+def attribute_rewrite(s, d):
+    """Every address led elsewhere at its own span; all else as it was."""
+    p = load(s, d, "pages").select("page_id", "html")
+    spans = structured.attribute_spans(p, "page_id", "html").where("tag = 'a' and name = 'href' and value like '/%'")
+    new = spans.select("page_id", "start", "end", F.concat(F.lit("/zh"), "value").alias("replacement"))
+    return edits.splice(p, new, "page_id", "html").select("page_id", F.md5("spliced").alias("digest"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS value, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE 'fallback' END AS state FROM nation""")
+def language_attributes(s, d):
+    x = F.concat(F.lit("<m text='"), "n_name", F.lit("'"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(' textEn="'), F.lower("n_name"), F.lit('"'))).otherwise(""), F.lit("/>"))
+    spans = structured.attribute_spans(load(s, d, "nation").select("n_nationkey", x.alias("x")), "n_nationkey", "x")
+    return structured.in_language(spans, ["n_nationkey"], "text", "En").select("n_nationkey", "value", "state")
+
+
 @query("""SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CASE WHEN doc_id % 10 = 3 THEN 'replaced' ELSE 'same' END AS state, true AS ok FROM documents""")
 def container_readback(s, d):
     old, new = containers.build(_members(s, d), "chunked"), _new_members(s, d)

@@ -12,6 +12,8 @@ Formats
            size, u32 crc32), payloads; little endian
   chunked  magic, u64 index offset, payload segments, index of File chunks with
            info, segm and adlr parts, raw or zlib
+  bundle   signature, big-endian sizes, a packed table of blocks and members, and the
+           blocks (raw, LZ4 or LZMA) of one stream that holds all members
   tree     u32 4, u32, u32, u32 JSON bytes, JSON {"files": ...}, payloads
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import inflate, xor_position
+from ..functions.codecs import inflate, lz4_block, unlz4, unlzma_props, xor_position
 from ..functions.text import path_key
 from ..operators.rewrite import per_document
 
@@ -136,11 +138,59 @@ def _tree(b: bytes):
     yield from walk(json.loads(b[16 : 16 + n]), "")
 
 
-PARSERS = {"records": _records, "flat": _flat, "chunked": _chunked, "tree": _tree}
+#: Fixed values of the bundle format: its signature, and block methods by number.
+BUNDLE_MAGIC, METHODS = b"UnityFS\0", {0: "raw", 1: "props-lzma", 2: "lz4", 3: "lz4"}
+
+
+def _block(data: bytes, size: int, method: str) -> bytes:
+    out = data if method == "raw" else unlz4(data, size) if method == "lz4" else unlzma_props(data, size)
+    _need(len(out) == size, "block size")
+    return out
+
+
+def _bundle(b: bytes, limit: int = 1 << 28):
+    """Members of a bundle lie in one stream that is cut into packed blocks; each is
+    the blocks that it touches, and what to skip in the first."""
+    _need(b.startswith(BUNDLE_MAGIC), "no signature")
+    at = len(BUNDLE_MAGIC) + 4
+    for _ in range(2):  # two versions as text
+        at = b.index(b"\0", at) + 1
+    total, packed, size, flags = struct.unpack_from(">QIII", b, at)
+    at += 20
+    _need(total == len(b) and size <= limit and packed <= len(b), "header sizes")
+    tail = flags & 0x80
+    start = len(b) - packed if tail else at
+    info = _block(b[start : start + packed], size, METHODS.get(flags & 0x3F, ""))
+    at = at if tail else at + packed
+    (n,) = struct.unpack_from(">I", info, 16)
+    _need(20 + 10 * n + 4 <= len(info), "block table")
+    parts, there, pos = [], 0, at
+    for k in range(n):
+        whole, stored, kind = struct.unpack_from(">IIH", info, 20 + 10 * k)
+        _need(pos + stored <= len(b) and whole <= limit and kind & 0x3F in METHODS, "block")
+        parts.append((there, pos, whole, stored, METHODS[kind & 0x3F]))
+        there, pos = there + whole, pos + stored
+    p = 20 + 10 * n
+    (n,) = struct.unpack_from(">I", info, p)
+    p += 4
+    for _ in range(n):
+        off, size = struct.unpack_from(">QQ", info, p)
+        end = info.index(b"\0", p + 20)
+        name = info[p + 20 : end].decode()
+        p = end + 1
+        _need(off + size <= there, f"{name}: range beyond the end")
+        mine = [x for x in parts if x[0] < off + size and x[0] + x[2] > off]
+        yield {"name": name, "parts": [(o, w, s, c) for _, o, w, s, c in mine], "size": size, "sum": None, "skip": off - mine[0][0] if mine else 0}
+
+
+PARSERS = {"bundle": _bundle, "records": _records, "flat": _flat, "chunked": _chunked, "tree": _tree}
 
 
 def _payload(b: bytes, entry: dict, undo=bytes) -> bytes:
-    out = undo(b"".join(b[o : o + s] if c == "raw" else inflate(b[o : o + s], n) for o, n, s, c in entry["parts"]))
+    unpack = lambda d, n, c: d if c == "raw" else inflate(d, n) if c == "zlib" else _block(d, n, c)
+    out = undo(b"".join(unpack(b[o : o + s], n, c) for o, n, s, c in entry["parts"]))
+    if "skip" in entry:
+        out = out[entry["skip"] : entry["skip"] + entry["size"]]
     _need(len(out) == entry["size"], "size differs")
     if entry["sum"]:
         kind, want = entry["sum"]
@@ -247,7 +297,24 @@ def _build_tree(members):
     return struct.pack("<IIII", 4, len(j) + pad + 8, len(j) + pad + 4, len(j)) + j + b"\0" * pad + b"".join(d for _, d in members)
 
 
-BUILDERS = {"records": _build_records, "flat": _build_flat, "chunked": _build_chunked, "tree": _build_tree}
+def _build_bundle(members, block: int = 1 << 17):
+    stream = b"".join(d for _, d in members)
+    blocks = [stream[a : a + block] for a in range(0, len(stream), block)]
+    packed = [lz4_block(x) for x in blocks]
+    kept = [(z, 3) if len(z) < len(x) else (x, 0) for x, z in zip(blocks, packed, strict=True)]
+    info = bytes(16) + struct.pack(">I", len(blocks)) + b"".join(struct.pack(">IIH", len(x), len(z), k) for x, (z, k) in zip(blocks, kept, strict=True))
+    info += struct.pack(">I", len(members))
+    at = 0
+    for name, d in members:
+        info += struct.pack(">QQI", at, len(d), 4) + name.encode() + b"\0"
+        at += len(d)
+    z = lz4_block(info)
+    head = BUNDLE_MAGIC + struct.pack(">I", 6) + b"5.x.x\0" + b"2019.1\0"
+    body = z + b"".join(x for x, _ in kept)
+    return head + struct.pack(">QIII", len(head) + 20 + len(body), len(z), len(info), 0x43) + body
+
+
+BUILDERS = {"bundle": _build_bundle, "records": _build_records, "flat": _build_flat, "chunked": _build_chunked, "tree": _build_tree}
 
 
 def build(members: DataFrame, fmt: str, container: str = "container") -> DataFrame:

@@ -7,6 +7,7 @@ report what they left out.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,33 @@ def files(spark: SparkSession, path: str, head: int = 2048) -> DataFrame:
     return f.select("path", F.col("length").alias("size"), F.substring("content", 1, head).alias("head"))
 
 
+def heads(listing: DataFrame, head: int = 2048, tail: int = 0) -> DataFrame:
+    """(path, size, head, tail) of the files of ``listing`` (path, size): the first
+    and last bytes alone, by seeking in the store (any that pyarrow opens).
+
+    ``listing`` can come from ``binaryFile`` without its content, which then is not
+    read.  A file that cannot be opened has null bytes.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            first, last = [], []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    store, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1))
+                    with store.open_input_file(name) as f:
+                        first.append(f.read_at(min(head, size), 0))
+                        last.append(f.read_at(min(tail, size), size - min(tail, size)))
+                except (OSError, ValueError):
+                    first[len(last) :] = [None]
+                    last.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.binary()), pa.array(last, pa.binary())], ["path", "size", "head", "tail"])
+
+    return listing.select("path", F.col("size").cast("long")).mapInArrow(run, "path string, size long, head binary, tail binary")
+
+
 def derived(path: Column) -> Column:
     """Does the path look like a product or copy of other files?"""
     return path.rlike(DERIVED)
@@ -49,19 +77,20 @@ def limited(table: DataFrame, max_files: int, max_depth: int) -> DataFrame:
     return out.withColumn("kept", F.col("reason").isNull())
 
 
-def evidence(table: DataFrame, magics: list[tuple[str, bytes]], extensions: list[tuple[str, str]], basenames: list[tuple[str, str]]) -> DataFrame:
+def evidence(table: DataFrame, magics: list[tuple], extensions: list[tuple[str, str]], basenames: list[tuple[str, str]]) -> DataFrame:
     """(kind, path, strength, evidence): every hit of every probe.
 
-    ``magics``: (kind, first bytes); ``extensions``: (kind, suffix with its
+    ``magics``: (kind, bytes) or (kind, bytes, offset in the head); ``extensions``: (kind, suffix with its
     dot), one suffix may serve several kinds; ``basenames``: (kind, name).
     """
     spark = table.sparkSession
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     t = table.select("path", "head", name.alias("name"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("suffix"))
-    m = F.broadcast(spark.createDataFrame([(k, bytearray(b), b.hex()) for k, b in magics], "kind string, magic binary, evidence string"))
+    m = F.broadcast(spark.createDataFrame([(k, bytearray(b), b.hex(), (at or [0])[0]) for k, b, *at in magics], "kind string, magic binary, evidence string, at int"))
     e = F.broadcast(spark.createDataFrame([(k, x.lower()) for k, x in extensions], "kind string, suffix string"))
     b = F.broadcast(spark.createDataFrame([(k, x.lower()) for k, x in basenames], "kind string, name string"))
-    hit = t.join(m, F.startswith("head", "magic")).select("kind", "path", F.lit("probe").alias("strength"), "evidence")
+    there = F.substring("head", F.col("at") + 1, F.octet_length("magic")) == F.col("magic")
+    hit = t.join(m, there).select("kind", "path", F.lit("probe").alias("strength"), "evidence")
     hit = hit.unionByName(t.join(b, "name").select("kind", "path", F.lit("filename").alias("strength"), F.col("name").alias("evidence")))
     return hit.unionByName(t.join(e, "suffix").select("kind", "path", F.lit("extension").alias("strength"), F.col("suffix").alias("evidence")))
 

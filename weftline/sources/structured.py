@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import json
 import pickletools
+import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,3 +236,42 @@ def pickle_strings(data: Column, max_ops: int = 1_000_000) -> Column:
         return out
 
     return F.pandas_udf(lambda c: pd.Series([None if v is None else one(v) for v in c]), kind)(data)
+
+
+_MARKUP = re.compile(r"<(?:!--.*?--|\?.*?\?|!\[CDATA\[.*?\]\]|/[^>]*|([A-Za-z_][^\s/>]*)((?:\s+[^\s=/>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*/?)>", re.S)
+_PAIR = re.compile(r"([^\s=/>]+)\s*=\s*(\"([^\"]*)\"|'([^']*)')")
+
+
+def attribute_spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, element, tag, name, start, end, value): where the attribute values of
+    XML-like text stand, in code points, quotes excluded.
+
+    The text is read lexically and nothing is normalised, so that a splice at these
+    spans leaves all else as it was.  ``element`` counts start tags from 0; ``value``
+    is the text between the quotes, entities and all.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            row, out = [], []
+            for i, s in enumerate(batch.column(1).to_pylist()):
+                for n, m in enumerate(x for x in _MARKUP.finditer(s or "") if x[1]):
+                    for a in _PAIR.finditer(m[2]):
+                        at = m.start(2) + a.start(2) + 1
+                        row.append(i)
+                        out.append((n, m[1], a[1], at, at + len(a[2]) - 2, a[2][1:-1]))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [key, "element", "tag", "name", "start", "end", "value"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, element long, tag string, name string, start long, end long, value string")
+
+
+def in_language(spans: DataFrame, keys: list[str], base: str, language: str) -> DataFrame:
+    """The span of ``base`` in a language for each element: the attribute ``base`` +
+    language if there is one, else ``base`` itself, with the state own or fallback."""
+    wanted = spans.where(F.col("name").isin(base, base + language))
+    place = F.row_number().over(Window.partitionBy(*keys, "element").orderBy((F.col("name") == base).cast("int")))
+    out = wanted.withColumn("__p", place).where("__p = 1").drop("__p")
+    return out.withColumn("state", F.when(F.col("name") == base, "fallback").otherwise("own"))
