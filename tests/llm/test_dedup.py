@@ -370,3 +370,13 @@ def test_a_passage_of_many_places(spark):
     for hot in (512, 16):
         got = {r[0]: tuple(r[1:]) for r in suffix_dedup.removals(df, length=48, gram=12, hot_phrases=hot).collect()}
         assert got == dict(enumerate(removal(texts, 48)))
+
+
+def test_hash_of_many_ranges():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 20_000).astype(np.uint8)
+    start, size = rng.integers(0, 19_500, 3000), rng.integers(0, 200, 3000)
+    for seed in (0, 42, 2**63 + 5):
+        got = _text.xxh64(data, start, start + size, seed)
+        assert got.tolist() == [xxhash.xxh64_intdigest(data[s : s + n].tobytes(), seed) for s, n in zip(start, size, strict=True)]
+    assert len(_text.xxh64(data, start[:0], start[:0])) == 0

@@ -69,6 +69,52 @@ class Hasher:
         return mix((self.c[end] - self.c[start]) * self.inv[start] + (end - start).astype(U64))
 
 
+#: The five primes of XXH64.
+XX = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of many byte ranges of one buffer at once.
+
+    Every step of the hash runs over all ranges that are still long enough for it.
+    """
+    one, two, three, four, five = map(U64, XX)
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    mixed = lambda acc, lane: turn(acc + lane * two, 31) * one
+    buf = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))  # a word at every byte
+    half = np.ndarray((len(buf) - 3,), "<u4", buf, strides=(1,))
+    at, size = start.astype(np.int64), (end - start).astype(np.int64)
+    left = size % 32
+    full = lambda n, *parts: np.full(n, U64(sum(parts) & 0xFFFFFFFFFFFFFFFF))
+    h = full(len(at), seed, XX[4])
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        acc = [full(len(long), *x) for x in ((seed, XX[0], XX[1]), (seed, XX[1]), (seed,), (seed, -XX[0]))]
+        stripes, p, live = size[long] // 32, at[long], np.arange(len(long))
+        for k in range(int(stripes.max())):
+            live = live[stripes[live] > k]
+            for i, a in enumerate(acc):
+                a[live] = mixed(a[live], word[p[live] + 8 * i])
+            p[live] += 32
+        x = turn(acc[0], 1) + turn(acc[1], 7) + turn(acc[2], 12) + turn(acc[3], 18)
+        for a in acc:
+            x = (x ^ mixed(U64(0), a)) * one + four
+        h[long], at[long] = x, p
+    h += size.astype(U64)
+    for least, step, rounds in ((8, lambda x, p: turn(x ^ mixed(U64(0), word[p]), 27) * one + four, 3), (4, lambda x, p: turn(x ^ half[p].astype(U64) * one, 23) * two + three, 1), (1, lambda x, p: turn(x ^ buf[p].astype(U64) * five, 11) * one, 3)):
+        for _ in range(rounds):
+            i = np.flatnonzero(left >= least)
+            h[i] = step(h[i], at[i])
+            at[i] += least
+            left[i] -= least
+    h ^= h >> U64(33)
+    h *= two
+    h ^= h >> U64(29)
+    h *= three
+    return h ^ (h >> U64(32))
+
+
 def column_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null is empty."""
     if pa.types.is_null(col.type):

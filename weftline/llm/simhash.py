@@ -31,12 +31,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, materialise
-from ._text import U64, chunks, words
+from ._text import U64, chunks, words, xxh64
 
 BITS = 64
 
@@ -56,15 +55,16 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 4) -> np.ndarra
     moved = np.repeat(at[:-1] - ws, size)
     src = np.flatnonzero(_inside(ws, we, len(buf)))
     flat[src + moved] = low[src]
-    data = flat.tobytes()
     per = np.bincount(wd, minlength=n)
     first = np.concatenate([[0], np.cumsum(per)])[:-1]
     # shingle i starts at word i and ends `width - 1` later; short texts have one
     count = np.where(per >= width, per - width + 1, (per > 0).astype(np.int64))
     begin = np.repeat(first, count) + _within(count)
     end = np.minimum(begin + width, np.repeat(first + per, count))
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(data[a:b], 42) for a, b in zip(at[begin].tolist(), (at[end] - 1).tolist(), strict=True)), U64, len(begin))
+    h = np.empty(len(begin), U64)
+    for a in range(0, len(begin), 1 << 16):  # parts that stay in a cache
+        s, e = at[begin[a : a + (1 << 16)]], at[end[a : a + (1 << 16)]] - 1
+        h[a : a + (1 << 16)] = xxh64(flat[s[0] : e.max()], s - s[0], e - s[0], 42)
     owner = np.flatnonzero(count)
     starts = np.concatenate([[0], np.cumsum(count[owner])])[:-1]
     weight = U64(1) << np.arange(BITS, dtype=U64)
