@@ -179,37 +179,52 @@ def bucket_edges(group: np.ndarray, words: np.ndarray, small: int = 64) -> np.nd
     return root
 
 
-def meetings(sig: DataFrame, slice_rows: int) -> DataFrame:
-    """(u, v): edges between nodes that share a block and pass the Hamming check."""
-    keyed = sig.where("fp <> 0").dropDuplicates(["node"]).select("node", "a", "b", F.explode("keys").alias("key"))
+def meetings(nodes: DataFrame, slice_rows: int, first: int, last: int) -> DataFrame:
+    """(u, v): edges between the labels of nodes (label, a, b, keys) that share one
+    of the blocks ``first`` to ``last - 1`` and pass the Hamming check."""
+    keyed = nodes.select("label", "a", "b", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows)
     keyed = sized_join(keyed, hot, "key", "left", 200_000)
     slices = F.ceil(F.coalesce("n", F.lit(1)) / slice_rows).cast("int")
-    keyed = keyed.withColumn("s", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), slices - 1)))
+    keyed = keyed.withColumn("s", F.pmod(F.xxhash64("a", "b"), slices).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), slices - 1)))
     # row of slice s goes to the tasks (min(s, o), max(s, o)) of all slices o
-    keyed = keyed.select(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("g"), "node", "a", "b")
-    # by node, so that the least of a component stands for it in every bucket
-    keyed = keyed.repartition("g").sortWithinPartitions("g", "node")
+    keyed = keyed.select(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("g"), "label", "a", "b")
+    # by label, so that the least of a component stands for it in every bucket
+    keyed = keyed.repartition("g").sortWithinPartitions("g", "label")
 
     def search(batches):
-        for g, node, words in _runs(batches):
+        for g, label, words in _runs(batches):
             root = bucket_edges(g, words)
-            i = np.flatnonzero(root != np.arange(len(root)))
+            i = np.flatnonzero(label[root] != label)
             if len(i):
-                pairs = np.unique(np.stack([node[i], node[root[i]]]), axis=1)
+                pairs = np.unique(np.stack([label[i], label[root[i]]]), axis=1)
                 yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
 
     return keyed.mapInArrow(search, "u long, v long")
 
 
+def clusters(sig: DataFrame, scratch: Scratch, slice_rows: int, blocks: int, ahead: int = 4) -> DataFrame:
+    """(node, cluster) of every node but the empty set's.
+
+    The first ``ahead`` blocks find most groups of close copies; the others then
+    speak of those groups by one label, so that a large group gives edges only
+    where it meets another.
+    """
+    nodes = scratch.put(sig.where("fp <> 0").dropDuplicates(["node"]).select("node", "a", "b", "keys"), "near-copies-nodes")
+    near = components(meetings(nodes.withColumnRenamed("node", "label"), slice_rows, 0, ahead))
+    nodes = nodes.join(near.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    more = components(meetings(nodes, slice_rows, ahead, blocks)).withColumnRenamed("v", "label")
+    return nodes.select("node", "label").join(more, "label", "left").select("node", F.coalesce("root", "label").alias("cluster"))
+
+
 def _runs(batches, least: int = 1 << 16):
-    """(g, node, check words) of ``least`` or more sorted rows that end with a g."""
+    """(g, label, check words) of ``least`` or more sorted rows that end with a g."""
     held: list[list[np.ndarray]] = []
     size = 0
 
     def joined(part):
-        g, node, a, b = (np.concatenate(c) for c in zip(*part, strict=True))
-        return g, node, np.stack([a, b], axis=1).view(U64)
+        g, label, a, b = (np.concatenate(c) for c in zip(*part, strict=True))
+        return g, label, np.stack([a, b], axis=1).view(U64)
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -255,11 +270,10 @@ def star_edges(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> t
     return np.array(src, np.int64), np.array(dst, np.int64)
 
 
-def links(docs: DataFrame, sig: DataFrame, scratch: Scratch, width: int, similarity: float, slice_bytes: int, slice_rows: int, text: str) -> DataFrame:
+def links(docs: DataFrame, sig: DataFrame, scratch: Scratch, width: int, similarity: float, slice_bytes: int, slice_rows: int, blocks: int, text: str) -> DataFrame:
     """(u, v): edges whose components are those of all links among the sets."""
-    near = components(meetings(sig, slice_rows)).select(F.col("v").alias("node"), "root")
     one = sig.groupBy("fp", "node").agg(F.min("text_hash").alias("text_hash"))
-    one = one.join(near, "node", "left").select("fp", F.coalesce("root", "node").alias("cluster"), "text_hash")
+    one = one.join(clusters(sig, scratch, slice_rows, blocks), "node").select("fp", "cluster", "text_hash")
     several = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
     one = scratch.put(one.join(several, "cluster", "left_semi"), "near-copies-candidates")
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
@@ -309,7 +323,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: i
     scratch = Scratch(docs.sparkSession)
     bits, blocks = shape(docs.count(), similarity, bucket, miss)
     sig = scratch.put(signatures(docs, width, bits, blocks, doc_id, text), "near-copies")
-    comp = components(links(docs, sig, scratch, width, similarity, slice_bytes, slice_rows, text))
+    comp = components(links(docs, sig, scratch, width, similarity, slice_bytes, slice_rows, blocks, text))
     kept = keep_found(docs, members(sig.select(doc_id, "fp", "text_hash"), comp, doc_id), doc_id, text)
     scratch.drop()
     return kept
