@@ -38,6 +38,33 @@ def test_lz4_by_hand():
         codecs.unlz4(bytes([0x10]) + b"a" + struct.pack("<H", 9) + b"\0", 100)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"abc", b"\0\0\0", b"0123456789abcdefghij", bytes(range(200, 256)), b"ab" * 300]), max_size=40))
+def test_lz4_by_both_decoders(parts):
+    data = b"".join(parts)
+    z = codecs.lz4_block(data)
+    assert codecs.unlz4(z, len(data)) == codecs._unlz4_tokens(z, len(data)) == data == codecs.unlz4(z, len(data) + 100)
+    for bad in (z[:-1], z[: len(z) // 2]):
+        for decoder in (codecs.unlz4, codecs._unlz4_tokens):
+            try:
+                assert data.startswith(decoder(bad, len(data)))
+            except ValueError:
+                pass
+
+
+def test_lz4_at_its_edges():
+    assert codecs.unlz4(b"\x10a\x01\x00", 5) == b"aaaaa"  # ends in a match
+    text = b"abcd" * (3 << 19)
+    assert codecs.unlz4(codecs.lz4_block(text), len(text)) == text  # more than a frame's block
+    assert codecs.unlz4(b"", 3) == codecs.unlz4(b"\0", 0) == b""
+    # an offset of 0, one before the start, an offset, a length and literals cut off
+    for bad in (b"\x40abcd\x00\x00\x80abcdefgh", b"\x10a\x02\x00\x00", b"\x35abc\x03", b"\xf0", b"\x10"):
+        with pytest.raises(ValueError):
+            codecs.unlz4(bad, 100)
+    with pytest.raises(ValueError):
+        codecs.unlz4(b"\x50hello", 4)
+
+
 def test_lzss_by_hand():
     # literals a b c, then a pair: ring position of the first literal, length 6
     pos = 4078

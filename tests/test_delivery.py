@@ -220,6 +220,56 @@ def test_bundles_by_hand_and_by_builder(spark):
     assert got["c2"][0][2] == got["c3"][0][2] == "blocked" and len(built) < 180_000 + 153_600
 
 
+def test_a_block_is_decoded_once_for_all_its_members(monkeypatch):
+    members = [(f"m{i}", (b"%d words of a member, " % i) * (i % 40)) for i in range(1500)]
+    built, calls, block = containers.BUILDERS["bundle"](members), [], containers._block
+    monkeypatch.setattr(containers, "_block", lambda d, n, c: calls.append(n) or block(d, n, c))
+    got = [r for x in containers._scanned("c", built, "bundle", None, True) for r in x.to_pylist()]
+    assert [(r["name"], r["payload"]) for r in got] == members and {r["status"] for r in got} == {"success"}
+    assert sum(calls[1:]) == sum(len(d) for _, d in members)  # the first call is the table's
+
+
+def test_bundles_in_pieces_are_the_bundles(spark):
+    """Several pieces a container, cut anywhere on reading; a bad block, a table at the end, a lost piece."""
+    import os
+    import random
+
+    rows = [(c, i, f"m{i}", bytearray(os.urandom(40_000) * 2 if i % 3 else b"ab" * i)) for c, n in (("a", 170), ("b", 3), (None, 2)) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    members = spark.createDataFrame([*rows, ("a", 500, "null", None)], "container string, ordinal int, name string, payload binary")
+    pieces = {}
+    for r in containers.build_pieces(members, "bundle").collect():
+        pieces.setdefault(r.container, {})[r.piece] = bytes(r.content)
+    files = {c: b"".join(x for _, x in sorted(p.items())) for c, p in pieces.items()}
+    assert len(pieces["a"]) > 2 and files == {r.container: bytes(r.content) for r in containers.build(members, "bundle").collect()}
+
+    cut = [("a", k, bytearray(files["a"][at : at + 999_999])) for k, at in enumerate(range(0, len(files["a"]), 999_999))]
+    cut += [("b", k, bytearray([x])) for k, x in enumerate(files["b"][:60])] + [("b", 60, bytearray(files["b"][60:]))]
+    cut += [(None, 0, bytearray(files[None])), ("short", 0, bytearray(files["b"][:-1])), ("none", 0, None)]
+    last = random.Random(2).sample(cut, len(cut))
+    got = containers.scan_pieces(spark.createDataFrame(last, "container string, piece int, content binary"), "bundle", payload=True).collect()
+    want = {(c, n): bytes(d) for c, _, n, d in rows} | {("a", "null"): b""}
+    assert {(r.container, r.name): bytes(r.payload) for r in got if r.status == "success"} == want
+    assert {(r.container, r.ordinal): r.status for r in got if r.status != "success"} == {("short", -1): "blocked", ("none", -1): "blocked"}
+    assert len(got) == len(want) + 2
+
+    flat = containers.BUILDERS["flat"]([("x", b"1"), ("y", b"22")])
+    got = containers.scan_pieces(spark.createDataFrame([("f", 1, bytearray(flat[9:])), ("f", 0, bytearray(flat[:9]))], "container string, piece int, content binary"), "flat", "y", True)
+    assert [(r.ordinal, r.name, bytes(r.payload)) for r in got.collect()] == [(1, "y", b"22")]
+
+
+def test_a_bad_block_blocks_its_members_alone(spark):
+    """Blocks cut in a sequence, of another size, and LZMA noise."""
+    blocks = [(5, b"\x50hello", 3), (9, b"\x35abc\x03", 3), (4, b"\x50hello", 2), (3, bytes([93]) + bytes(9), 1)]
+    info = bytes(16) + struct.pack(">I", 4) + b"".join(struct.pack(">IIH", n, len(z), k) for n, z, k in blocks)
+    info += struct.pack(">I", 4) + b"".join(struct.pack(">QQI", at, n, 4) + b"%d\0" % at for at, n in ((14, 4), (0, 5), (5, 9), (18, 3)))
+    head = b"UnityFS\0" + struct.pack(">I", 6) + b"5.x\0" + b"2019\0"
+    body = info + b"".join(z for _, z, _ in blocks)
+    whole = head + struct.pack(">QIII", len(head) + 20 + len(body), len(info), len(info), 0x40) + body
+    got = {r.ordinal: (r.name, r.status, r.payload and bytes(r.payload)) for r in containers.scan(_table(spark, whole), "bundle", payload=True).collect()}
+    assert got == {0: ("14", "blocked", None), 1: ("0", "success", b"hello"), 2: ("5", "blocked", None), 3: ("18", "blocked", None)}
+
+
 def test_heads_without_the_rest(spark, tmp_path):
     from weftline.sources import scan
 

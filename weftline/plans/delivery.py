@@ -152,7 +152,7 @@ def container_patch(s, d):
 
 @query("SELECT source AS container, 'dir/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, 'success' AS status FROM documents")
 def container_bundle(s, d):
-    out = containers.scan(containers.build(_members(s, d), "bundle"), "bundle", payload=True)
+    out = containers.scan_pieces(containers.build_pieces(_members(s, d), "bundle"), "bundle", payload=True)
     return out.select("container", "name", "size", F.sha2("payload", 256).alias("sha256"), "status")
 
 
