@@ -258,6 +258,18 @@ def test_bundles_in_pieces_are_the_bundles(spark):
     assert [(r.ordinal, r.name, bytes(r.payload)) for r in got.collect()] == [(1, "y", b"22")]
 
 
+def test_names_and_order_of_a_bundle():
+    def read(*members):
+        return [(r["ordinal"], r["name"], r["status"], r["reason"]) for x in containers._scanned("c", containers.BUILDERS["bundle"](members), "bundle", None, True) for r in x.to_pylist()]
+
+    assert read() == [] and read(("A", b"1"), ("b", b"")) == [(0, "A", "success", None), (1, "b", "success", None)]
+    assert read(("A", b"1"), ("b", b"2"), ("a", b"3")) == [(-1, None, "blocked", "two members with one name")]
+    # a million members take numbers, not objects
+    built = containers.BUILDERS["bundle"]([(f"{i:07d}", b"") for i in range(20_000)])
+    kept = containers._bundle(built)
+    assert kept.table.itemsize * len(kept.table) == 24 * 20_000 and next(iter(kept))["name"] == "0000000"
+
+
 def test_a_bad_block_blocks_its_members_alone(spark):
     """Blocks cut in a sequence, of another size, and LZMA noise."""
     blocks = [(5, b"\x50hello", 3), (9, b"\x35abc\x03", 3), (4, b"\x50hello", 2), (3, bytes([93]) + bytes(9), 1)]
